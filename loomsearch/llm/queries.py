@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import distinctive, frequencies, mixing, packing, quality, tokens
 from .common import materialise, read
 from .lines import line_keys, occurrences, repeated_lines, without_repeated_lines
 from .residue import residue_flags
@@ -39,11 +40,123 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_repeated_lines(read(spark, d, "articles"), _lines(spark, d)[1])
 
 
+def _marked(partials: DataFrame, n: int) -> DataFrame:
+    counted = frequencies.frequencies(materialise(partials, "partials"))
+    return counted.withColumn("mark", frequencies.mark(F.col("n_records"), F.lit(n)))
+
+
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    pairs = materialise(frequencies.posting_pairs(read(spark, d, "index_postings"), read(spark, d, "articles")), "pairs")
+    n = pairs.agg(F.count_distinct("doc_id")).first()[0]
+    return _marked(frequencies.pair_partials(pairs), n)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _postings(spark, d).where("mark is not null").select("term", "mark")
+
+
+def p3_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences and articles of every term of index_postings, with its mark."""
+    return _postings(spark, d)
+
+
+def p3_words(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences and articles of every word of articles.content, with its mark."""
+    articles = read(spark, d, "articles")
+    n = articles.where("content is not null").count()
+    return _marked(frequencies.word_partials(articles.select(F.col("content").alias("text"))).groupBy("term").agg(F.sum("n_records").alias("n_records"), F.sum("n_occurrences").alias("n_occurrences")), n)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = distinctive.record_text(read(spark, d, "articles"))
+    return distinctive.top_terms(distinctive.scored_terms(texts, read(spark, d, "term_probes"))).select("doc_id", "term")
+
+
+def p6_top_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The five most distinctive terms of every article."""
+    scored = distinctive.scored_terms(distinctive.record_text(read(spark, d, "articles")))
+    return distinctive.top_terms(scored, 5).select("doc_id", "rank", "term", "tf", "cf", F.round("score", 6).alias("score"))
+
+
+def _sizes(spark: SparkSession, d: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return materialise(tokens.token_counts(read(spark, d, "documents"), keep), "sizes")
+
+
+def _capacity(spark: SparkSession, d: str, profile: str) -> int:
+    return read(spark, d, "packing").where(F.col("profile") == profile).agg(F.max("capacity_tokens")).first()[0]
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.split_texts(packing.packed(_sizes(spark, d), _capacity(spark, d, "base")))
+
+
+def p7_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The window of every document's pieces at profile ``base``."""
+    return packing.packed(_sizes(spark, d), _capacity(spark, d, "base"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the windows of each profile are."""
+    sizes = _sizes(spark, d)
+    out = None
+    for profile, capacity in read(spark, d, "packing").where("profile is not null and capacity_tokens > 0").distinct().collect():
+        one = packing.fill_report(packing.packed(sizes, capacity), capacity).withColumn("profile", F.lit(profile))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    documents = read(spark, d, "documents").withColumn("text_key", F.xxhash64("text"))
+    sizes = materialise(tokens.token_counts(documents, ("source", "text_key")), "mix-sizes")
+    targets = mixing.clean_targets(read(spark, d, "mix_targets"))
+    total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    texts = materialise(mixing.texts_by_pattern(sizes, targets), "mix-texts")
+    return texts, targets, mixing.plan_frame(texts, targets, total), total
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.short_sources(_mix(spark, d)[2])
+
+
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is used for each source of the mix."""
+    texts, _, planned, _ = _mix(spark, d)
+    return mixing.selection(texts, planned)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the mix that each source reaches."""
+    texts, targets, planned, total = _mix(spark, d)
+    return mixing.reached_shares(mixing.selection(texts, planned), targets, total)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality(read(spark, d, "documents")).where("kind in ('list', 'table', 'junk')").select("doc_id").distinct()
+
+
+def p9_figures(spark: SparkSession, d: str) -> DataFrame:
+    """The figures and the kind of every document."""
+    return quality.quality(read(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_kinds": p1_kinds,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
+    "p3_found": p3_found,
+    "p3_terms": p3_terms,
+    "p3_words": p3_words,
+    "p6_found": p6_found,
+    "p6_top_terms": p6_top_terms,
+    "p7_found": p7_found,
+    "p7_windows": p7_windows,
+    "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_selection": p8_selection,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_figures": p9_figures,
 }
 
 #: DuckDB statements for the queries that SQL can express over whole tables.
