@@ -1,5 +1,5 @@
 """Training-data operators: residue, repeated lines, frequencies, history
 deduplication, cut texts, distinctive terms, packing, mixing and quality.
 
-Nothing outside this package imports it; it imports nothing of the search core.
+Nothing outside this package imports it; it uses nothing of the search core.
 """

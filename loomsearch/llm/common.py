@@ -9,6 +9,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows up to which a lookup side may be broadcast or held as a dictionary; it is
 #: counted before each use, and beyond it the operators shuffle instead.
 BROADCAST_ROWS = 300_000
@@ -16,7 +18,7 @@ BROADCAST_ROWS = 300_000
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One Parquet table of a data directory."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import distinctive, frequencies, mixing, packing, quality, tokens
-from .common import materialise, read
+from . import cut, distinctive, frequencies, history, mixing, packing, quality, tokens
+from .common import bounded_broadcast, materialise, read
 from .lines import line_keys, occurrences, repeated_lines, without_repeated_lines
 from .residue import residue_flags
 
@@ -67,6 +67,40 @@ def p3_words(spark: SparkSession, d: str) -> DataFrame:
     return _marked(frequencies.word_partials(articles.select(F.col("content").alias("text"))).groupBy("term").agg(F.sum("n_records").alias("n_records"), F.sum("n_occurrences").alias("n_occurrences")), n)
 
 
+def _news(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The articles that are no p1 cases, and the repeated lines of all articles."""
+    flags = materialise(_residue(spark, d).where("kind != ''").select("doc_id").distinct(), "residue-ids")
+    return read(spark, d, "articles").join(bounded_broadcast(flags), "doc_id", "left_anti"), _lines(spark, d)[1]
+
+
+def _repeats(spark: SparkSession, d: str) -> DataFrame:
+    return history.repeated_articles(spark, materialise(history.prepared(*_news(spark, d)), "prepared"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _repeats(spark, d)
+
+
+def p4_accepted(spark: SparkSession, d: str) -> DataFrame:
+    """The articles that are kept: the history and the new ones that repeat nothing."""
+    repeats = materialise(_repeats(spark, d), "repeats").select(F.col("doc_id_b").alias("doc_id"))
+    return _news(spark, d)[0].select("doc_id", "batch_no").join(bounded_broadcast(repeats), "doc_id", "left_anti")
+
+
+def _cuts(spark: SparkSession, d: str) -> DataFrame:
+    own = without_repeated_lines(*_news(spark, d)).select("doc_id", F.col("content").alias("text"))
+    return cut.cut_texts(materialise(own, "own-texts"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cuts(spark, d).where("cut").select("doc_id").distinct()
+
+
+def p5_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The share of cut articles of each source."""
+    return cut.cut_report(_cuts(spark, d), read(spark, d, "articles"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     texts = distinctive.record_text(read(spark, d, "articles"))
     return distinctive.top_terms(distinctive.scored_terms(texts, read(spark, d, "term_probes"))).select("doc_id", "term")
@@ -147,6 +181,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_terms": p3_terms,
     "p3_words": p3_words,
+    "p4_found": p4_found,
+    "p4_accepted": p4_accepted,
+    "p5_found": p5_found,
+    "p5_sources": p5_sources,
     "p6_found": p6_found,
     "p6_top_terms": p6_top_terms,
     "p7_found": p7_found,
@@ -160,4 +198,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB statements for the queries that SQL can express over whole tables.
-SQL: dict[str, str] = {}
+_POSTING_COUNTS = """
+WITH ids AS (SELECT DISTINCT doc_id FROM articles),
+valid AS (SELECT lower(trim(p.term, ' ')) AS term, p.doc_id, p.positions FROM index_postings p JOIN ids USING (doc_id) WHERE p.term IS NOT NULL),
+total AS (SELECT count(DISTINCT doc_id) AS n FROM valid),
+pairs AS (SELECT term, doc_id, len(list_distinct(flatten(list(positions)))) AS occurrences FROM valid GROUP BY term, doc_id),
+counts AS (SELECT term, count(*) AS n_records, CAST(sum(occurrences) AS BIGINT) AS n_occurrences FROM pairs GROUP BY term),
+marked AS (SELECT term, n_records, n_occurrences, CASE WHEN n_records <= 2 THEN 'rare' WHEN n_records >= 0.3 * (SELECT n FROM total) THEN 'common' END AS mark FROM counts)
+"""
+
+SQL: dict[str, str] = {
+    "p3_found": _POSTING_COUNTS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
+    "p3_terms": _POSTING_COUNTS + "SELECT term, n_records, n_occurrences, mark FROM marked",
+    "p3_words": r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+')) AS term FROM articles),
+counts AS (SELECT term, count(DISTINCT doc_id) AS n_records, count(*) AS n_occurrences FROM words GROUP BY term),
+total AS (SELECT count(*) AS n FROM articles WHERE content IS NOT NULL)
+SELECT term, n_records, n_occurrences, CASE WHEN n_records <= 2 THEN 'rare' WHEN n_records >= 0.3 * (SELECT n FROM total) THEN 'common' END AS mark FROM counts
+""",
+    "p2_found": r"""
+WITH split AS (SELECT doc_id, coalesce(source, '') AS source, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM articles WHERE content IS NOT NULL AND content <> ''),
+normal AS (SELECT doc_id, source, line_no, regexp_replace(regexp_replace(regexp_replace(lower(line), '\p{Nd}+', '', 'g'), '[\s\p{Z}\x{85}\x{1c}-\x{1f}]+', ' ', 'g'), '^[^\p{L}]+|[^\p{L}]+$', '', 'g') AS key FROM split),
+totals AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM articles GROUP BY 1),
+heavy AS (SELECT source, key FROM normal WHERE key <> '' GROUP BY source, key HAVING count(DISTINCT doc_id) >= 5)
+, confirmed AS (SELECT h.source, h.key FROM heavy h JOIN totals t USING (source) JOIN (SELECT source, key, count(DISTINCT doc_id) AS d FROM normal GROUP BY 1, 2) c USING (source, key) WHERE c.d >= 0.02 * t.n)
+SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no FROM normal JOIN confirmed USING (source, key)
+""",
+}
