@@ -37,7 +37,7 @@ def posting_pairs(postings: DataFrame, records: DataFrame) -> DataFrame:
     """
     ids = materialise(records.where("doc_id is not null").select("doc_id").distinct(), "record-ids")
     rows = chosen(postings, ("term", "doc_id", "positions")).where("term is not null")
-    rows = rows.join(bounded_broadcast(ids, 2_000_000), "doc_id", "left_semi")
+    rows = rows.join(bounded_broadcast(ids), "doc_id", "left_semi")
     positions = F.flatten(F.collect_set(F.coalesce("positions", F.array().cast("array<int>"))))
     return rows.groupBy("doc_id", F.lower(F.trim("term")).alias("term")).agg(F.size(F.array_distinct(positions)).cast("long").alias("occurrences"))
 
