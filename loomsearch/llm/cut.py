@@ -34,56 +34,74 @@ _MISSING_REST = (
 
 
 def token_classes(text: Column) -> Column:
-    """The text's tokens as classes, after a line break that stands for its beginning."""
-    short = F.regexp_replace(text, r"\p{Lu}[\p{L}\p{M}'’]*", "X")
+    """The text's tokens as classes, after two line breaks that stand for its beginning."""
+    short = F.regexp_replace(F.translate(text, "“”„«»’", "\"\"\"\"\"'"), r"\p{Lu}[\p{L}\p{M}']*", "X")
     short = F.regexp_replace(short, r"(?<![\p{L}\p{M}])[\p{Ll}\p{M}]{6,}", "xx")
     short = F.regexp_replace(short, r"\p{N}+(?:[.,:]\p{N}+)*", "9")
-    short = F.regexp_replace(F.regexp_replace(short, r"[“”„«»]", '"'), r"\s*\n\s*", "\n")
-    return F.regexp_extract_all(F.concat(F.lit("\n"), F.trim(short)), F.lit(r"[\p{L}\p{M}]+(?:['’]\p{L}+)*|9|\n|[^\s\p{L}\p{M}]"), F.lit(0))
+    return F.regexp_extract_all(F.concat(F.lit("\n\n"), F.trim(short)), F.lit(r"[\p{L}\p{M}]+(?:'\p{L}+)*|9|\n|[^\s\p{L}\p{M}]"), F.lit(0))
 
 
-def _grams(tokens: str, n: int) -> Column:
-    """The text's n-grams as 64-bit keys, the last one last; padded by nothing, so short texts have fewer."""
-    parts = ", ".join(f"{tokens}[i + {k}]" for k in range(n))
-    return F.expr(f"CASE WHEN size({tokens}) >= {n} THEN transform(sequence(0, size({tokens}) - {n}), i -> xxhash64({n}, {parts})) ELSE array() END")
+def _gram(*words: Column | str) -> Column:
+    return F.concat_ws(" ", *words)
 
 
 def cut_texts(texts: DataFrame, min_seen: int = MIN_SEEN, max_terminal_share: float = MAX_TERMINAL_SHARE) -> DataFrame:
-    """(doc_id, cut, reason) of every judged text; ``texts`` has doc_id and text (own lines only), materialised.
+    """(doc_id, cut, reason, terminal_share) of every judged text; ``texts`` has doc_id and text (own lines only), materialised.
 
-    The counts are combined before they are shuffled; a frequent trigram is no hot key, as each task sends it once.
+    Trigrams are counted once over the whole texts, combined before they are shuffled, so a frequent one is no hot key;
+    bigrams and words are added up from the trigrams. Only the last line of a text is read for its end.
     """
-    own = texts.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("doc_id", F.trim(F.regexp_replace("text", r"\s+$", "")).alias("text"))
-    marked = F.coalesce(F.regexp_like(F.col("text"), F.lit("(?i)" + _MISSING_REST)), F.lit(False))
-    tokens = own.select("doc_id", marked.alias("marked"), token_classes(F.col("text")).alias("t"))
-    grams = tokens.select(*[_grams("t", n).alias(f"g{n}") for n in (1, 2, 3)])
-    seen = grams.select(F.explode(F.concat("g1", "g2", "g3")).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
-    # a lower-case last token may be half a word: then only the class of any word can tell
-    last_token = F.element_at("t", -1)
-    lower = F.regexp_like(last_token, F.lit(r"^[\p{Ll}\p{M}]+$"))
-    inside = F.expr("filter(array_distinct(slice(t, 1, size(t) - 1)), w -> length(w) < 6 AND w RLIKE '^[\\\\p{Ll}\\\\p{M}]+$')")
-    words = materialise(tokens.select(F.explode(inside).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2), "short-words")
-    stems = words.where(F.col("n") >= min_seen).select("n", F.explode(F.expr("transform(sequence(1, length(word)), i -> substring(word, 1, i))")).alias("stem"), "word").where("stem != word").groupBy("stem").agg(F.max("n").alias("longer_n"))
-    halves = stems.join(words.select(F.col("word").alias("stem"), "n"), "stem", "left").where(F.coalesce("n", F.lit(0)) <= HALF_WORD_SHARE * F.col("longer_n")).select(F.col("stem").alias("last_token"), F.lit(True).alias("half"))
-    halves = materialise(halves, "half-words")
-    open_end = F.when(lower, F.lit("xx")).otherwise(last_token)
-    tokens_before = F.slice("t", F.greatest(F.size("t") - 2, F.lit(1)), F.least(F.size("t") - 1, F.lit(2)))
-    ends_of = tokens.select("doc_id", "marked", last_token.alias("last_token"), last_token.isin(".", "!", "?", '"').alias("stopped"), F.concat(tokens_before, F.array(last_token)).alias("e"), F.concat(tokens_before, F.array(open_end)).alias("o"))
-    finals = [F.get(_grams(c, n), F.size(_grams(c, n)) - 1).alias(f"{c}{n}") for n in (3, 2, 1) for c in ("e", "o")]
-    last = materialise(ends_of.join(bounded_broadcast(halves), "last_token", "left").select("doc_id", "marked", "stopped", F.coalesce("half", F.lit(False)).alias("half"), *finals), "final-grams")
+    own = texts.where(F.regexp_like("text", F.lit(r"\S"))).select("doc_id", F.regexp_replace("text", r"\s+$", "").alias("text"))
+    t = token_classes(F.col("text"))
+    n = F.greatest(F.size("t") - 2, F.lit(0))
+    zipped = F.arrays_zip(F.slice("t", 1, n).alias("a"), F.slice("t", 2, n).alias("b"), F.slice("t", 3, n).alias("c"))
+    trigrams = own.select(t.alias("t")).select(F.explode(zipped).alias("g")).groupBy("g.a", "g.b", "g.c").agg(F.count(F.lit(1)).alias("n"))
+    trigrams = materialise(trigrams, "trigrams")
+    seen = trigrams.select(_gram("a", "b", "c").alias("gram"), F.col("n").alias("seen"))
+    seen = seen.unionByName(trigrams.groupBy(_gram("b", "c").alias("gram")).agg(F.sum("n").alias("seen")))
+    words = trigrams.groupBy(F.col("c").alias("word")).agg(F.sum("n").alias("n"))
+    seen = seen.unionByName(words.select(F.col("word").alias("gram"), F.col("n").alias("seen")))
+
+    marked = F.coalesce(F.regexp_like(F.substring("text", -200, 200), F.lit("(?i)" + _MISSING_REST)), F.lit(False))
+    # the last three tokens stand in the last line, or in the lines before, if it is very short
+    tail = F.when(F.length(F.substring_index("text", "\n", -3)) < F.length("text"), F.substring_index("text", "\n", -3)).otherwise(F.col("text"))
+    ends_of = own.select("doc_id", marked.alias("marked"), F.slice(token_classes(tail), -3, 3).alias("t"))
+    c = F.col("t")[2]
+    lower = F.regexp_like("c", F.lit(r"^[\p{Ll}\p{M}']+$"))
+    last = materialise(ends_of.select("doc_id", "marked", F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), c.alias("c")), "final-tokens")
     # texts that end in a mark are known to be cut; their ends are no evidence of what ends a text
-    asked = last.select("marked", F.explode(F.array("e1", "e2", "e3", "o1", "o2", "o3")).alias("gram")).where("gram is not null")
-    ended = last.where("not marked").select(F.explode(F.array("e1", "e2", "e3")).alias("gram")).where("gram is not null").groupBy("gram").agg(F.count(F.lit(1)).alias("ended"))
-    wanted = asked.select("gram").distinct().join(ended, "gram", "left").join(seen, "gram", "left")
+    plain = last.where("not marked")
+    ended = plain.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"))
+    ended = materialise(ended, "final-trigrams")
+    ended_words = ended.groupBy(F.col("c").alias("word")).agg(F.sum("n").alias("ended"))
+    ended = ended.select(_gram("a", "b", "c").alias("gram"), F.col("n").alias("ended")).unionByName(ended.groupBy(_gram("b", "c").alias("gram")).agg(F.sum("n").alias("ended"))).unionByName(ended_words.select(F.col("word").alias("gram"), "ended"))
+
+    # a lower-case last token may be half a word: then only the class of any word can tell
+    short_words = words.where((F.length("word") < 6) & F.regexp_like("word", F.lit(r"^[\p{Ll}\p{M}]+$")))
+    inside = short_words.join(ended_words, "word", "left").select("word", (F.col("n") - F.coalesce("ended", F.lit(0))).alias("n"))
+    inside = materialise(inside, "short-words")
+    stems = inside.where(F.col("n") >= min_seen).select("n", F.explode(F.expr("transform(sequence(1, length(word)), i -> substring(word, 1, i))")).alias("stem"), "word").where("stem != word").groupBy("stem").agg(F.max("n").alias("longer_n"))
+    halves = stems.join(inside.select(F.col("word").alias("stem"), "n"), "stem", "left").where(F.coalesce("n", F.lit(0)) <= HALF_WORD_SHARE * F.col("longer_n")).select(F.col("stem").alias("c"), F.lit(True).alias("half"))
+    open_end = F.when(lower, F.lit("xx")).otherwise(F.col("c"))
+    grams = last.join(bounded_broadcast(materialise(halves, "half-words")), "c", "left").select(
+        "doc_id",
+        "marked",
+        F.col("c").isin(".", "!", "?", '"').alias("stopped"),
+        *[F.when(F.col("half").isNull(), g).alias(name) for name, g in (("e3", _gram("a", "b", "c")), ("e2", _gram("b", "c")), ("e1", F.col("c")))],
+        _gram("a", "b", open_end).alias("o3"),
+        _gram("b", open_end).alias("o2"),
+        open_end.alias("o1"),
+    )
+    levels = ("e3", "o3", "e2", "o2", "e1", "o1")
+    asked = grams.select(F.explode(F.array(*levels)).alias("gram")).where("gram is not null").distinct()
     others = F.coalesce("seen", F.lit(0)) - 1
     ended_others = F.coalesce("ended", F.lit(0)) - 1
     enough = (others >= min_seen) | (ended_others >= MIN_ENDED)
-    known = materialise(wanted.where(enough).select("gram", (F.greatest(ended_others, F.lit(0)) / others).alias("share")), "terminal-shares")
-    judged = last
-    levels = ("e3", "o3", "e2", "o2", "e1", "o1")
-    judged = judged.withColumns({c: F.when(~F.col("half"), F.col(c)) for c in ("e3", "e2", "e1")})
+    known = asked.join(ended, "gram", "left").join(seen, "gram", "left").where(enough).select("gram", (F.greatest(ended_others, F.lit(0)) / F.greatest(others, F.lit(1))).alias("share"))
+    known = bounded_broadcast(materialise(known, "terminal-shares"))
+    judged = grams
     for level in levels:
-        judged = judged.join(bounded_broadcast(known.select(F.col("gram").alias(level), F.col("share").alias(f"share_{level}"))), level, "left")
+        judged = judged.join(known.select(F.col("gram").alias(level), F.col("share").alias(f"share_{level}")), level, "left")
     share = F.coalesce(*[f"share_{level}" for level in levels])
     reason = F.when(F.col("marked"), "mark").when(~F.col("stopped") & (share <= max_terminal_share), "gram")
     return judged.select("doc_id", reason.isNotNull().alias("cut"), reason.alias("reason"), share.alias("terminal_share"))
