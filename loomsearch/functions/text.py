@@ -139,7 +139,7 @@ def lead(text: Column, pieces: int = 3) -> Column:
 
 def day(value: Column) -> Column:
     """The date of the first ten characters, null if they are none."""
-    return F.try_to_date(F.substring(value, 1, 10), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.substring(value, 1, 10), "yyyy-MM-dd")
 
 
 #: Further forms of dates, tried in order.
@@ -150,7 +150,7 @@ def any_day(value: Column) -> Column:
     """The date of a value in any of the forms, null if it has none."""
     text = F.trim(value)
     iso = F.when(F.regexp_like(text, F.lit(r"^\d{4}-\d{2}-\d{2}")), F.substring(text, 1, 10)).otherwise(text)
-    return F.coalesce(*[F.try_to_date(iso, F.lit(form)) for form in DATE_FORMS])
+    return F.coalesce(*[F.try_to_date(iso, form) for form in DATE_FORMS])
 
 
 def found_day(text: Column) -> Column:

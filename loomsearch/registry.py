@@ -625,9 +625,9 @@ def pagerank_summary(spark, d):
     return enrich.pagerank_summaries(read(spark, d, "articles"), F.col("title"), F.col("content"), 3)
 
 
-@query("SELECT doc_id, updated_at, trim(coalesce(nullif(summary, ''), 'Unable to get summary.')) AS summary FROM doc_records")
+@query("SELECT doc_id, trim(coalesce(nullif(summary, ''), 'Unable to get summary.')) AS summary FROM doc_records")
 def summary_default(spark, d):
-    return read(spark, d, "doc_records").select("doc_id", "updated_at", enrich.summary_or_default(F.col("summary")).alias("summary"))
+    return read(spark, d, "doc_records").select("doc_id", enrich.summary_or_default(F.col("summary")).alias("summary"))
 
 
 @query()

@@ -27,7 +27,7 @@ def list_fragments(spark: SparkSession, folder: str) -> DataFrame:
 def _name_columns(path):
     return (
         F.regexp_extract(path, _NAME, 1).alias("source"),
-        F.try_to_date(F.regexp_extract(path, _NAME, 2), F.lit("yyyyMMdd")).alias("crawl_date"),
+        F.try_to_date(F.regexp_extract(path, _NAME, 2), "yyyyMMdd").alias("crawl_date"),
         F.regexp_extract(path, _NAME, 3).try_cast("int").alias("frag_index"),
     )
 
