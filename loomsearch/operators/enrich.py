@@ -110,9 +110,9 @@ def summary_or_default(summary: Column) -> Column:
 
 
 def rounded_parts(parts: Column) -> Column:
-    """Three probabilities rounded to two places, the last taking up what is missing to 1."""
+    """Three probabilities rounded to two places, the last taking up what is missing to 1; null stays null."""
     first, second = F.round(parts[0], 2), F.round(parts[1], 2)
-    return F.array(first, second, F.round(F.lit(1.0) - first - second, 2))
+    return F.when(parts.isNotNull(), F.array(first, second, F.round(F.lit(1.0) - first - second, 2)))
 
 
 def sentiment_entries(parts: Column) -> Column:

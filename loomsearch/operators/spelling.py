@@ -91,8 +91,10 @@ class Corrector:
                 continue
             if i + 1 < len(words):
                 both = self._best(joined[i], known[joined[i]])
-                after = self._best(words[i + 1], known[words[i + 1]])
-                apart = (best[0] if best else self._distance + 1) + (after[0] if after else self._distance + 1)
+                following = words[i + 1]
+                kept = len(following) == 1 or any(c.isdigit() for c in following)
+                after = self._best(following, known[following])
+                apart = (best[0] if best else self._distance + 1) + (0 if kept else after[0] if after else self._distance + 1)
                 if both and both[0] + 1 < apart:
                     out.append(both[2])
                     i += 2
