@@ -12,29 +12,21 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Words that hold sentences together, of English, German, French, Spanish, Italian, Portuguese and Dutch.
+# Words that hold sentences together, of English, German, French and Spanish.
 COMMON_WORDS = frozenset(
-    """a about above after again all also am among an and another any are as at be because been before being between both but by can could did do does down each earlier even every for from
-    had has have having he her here him his how i if in into is it its itself just last least less like many may me might more most much must my neither never new no nor not now of off on
-    once one only or other our out over own per said same say says she should since so some still such than that the their them then there these they this those through to too under until up
-    very was we were what when where whether which while who whom why will with within without would year years yet you your
-    aber als am an auch auf aus bei bis da damit dann das dass dem den denn der des die dies diese dieser dieses doch dort du durch ein eine einem einen einer eines er es für gegen habe haben
-    hat hatte ich ihr ihre im in ist ja jahr jahre jahren jetzt kann kein keine man mehr mit muss nach nicht noch nur ob oder ohne sagte schon sein seine seit sich sie sind so soll über um und uns unter
-    vom von vor war waren was weil wenn werden wie wir wird wo wurde wurden zu zum zur zwischen
-    au aux avec avons ce ces cette comme dans de depuis des deux dit donc du elle en encore est et être eu fait il ils je la le les leur lui mais même ne nous on ont ou où par pas plus pour
-    qu que qui sa sans se sera ses si son sont sous sur tous tout tu un une vous voulait était été
-    al algo años antes aunque bien cada como con contra cuando de del desde donde dos el ella ellos en entre era es esa ese eso esta está este esto fue ha había han hasta hay la las le lo los más
-    me mi muy nada ni no nos o otra otro para pero poco por porque que qué quien quiere se según ser si sin sobre son su sus también tan tiene todo todos un una uno ya
-    alla anche che chi con da dal dei del della delle di e gli ha il io la lo ma nel nella non per più quando quello questo sono sul sulla suo un una
-    ao aos com da das do dos e em entre era foi isso mais mas na nas não no nos o os ou para pela pelo por quando se sem seu sua também um uma
-    aan als bij dat de deze die dit door een en er had heeft het hij ik in is je maar meer met naar niet nog of om onder ook op over te tot uit van voor was wat we werd wie zij zijn""".split()
+    """a about after all although also an and are as at be because been but by can could did do for from had has have he her his how if in is it its last more neither no nor not now of on one or other
+    over said say she should since so some than that the their them there they this to up was we were what when which while who why will with without would you
+    aber als auch auf aus bei das dass dem den der des die diese ein eine einem einen einer er es für haben hat ich im ist jahren mit nach nicht noch ob sich sie sind um und vom von war wie wird wurde zu zum zur
+    aussi au aux avec avons ce ces cette comme dans de depuis dit du elle est et il la le les mais ne nous ont par pas plus pour que qui sont sur tous un une voulait
+    al como con de desde el en es esa ese está esta este hace ha la las lo los más no nos para pero por que quiere se según sea si sido son su todos una ya y""".split()
 )
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_TOKEN = re.compile(r"\S+")
+_DIGIT = re.compile(r"\d")
 _PLAIN_TOKEN = re.compile(r"""^[("'“‘«„\[¿¡—–-]*[^\W\d_]+(?:[-'’/][^\W\d_]+)*[)"'”’»“\].,;:!?…]*$""")
 _NUMBER_TOKEN = re.compile(r"^[+\-−~±$€£(]?\d[\d.,:/%-]*[)%.,;:]?$|^[-–—]$")
 _BULLET = re.compile(r"^\s*(?:[-*•·–—▪◦‣+]|\(?\d{1,3}[.):]|\(?[a-zA-Z][.)]|\[[ x]\])\s+")
@@ -78,51 +70,81 @@ def _duplicate_share(parts: list[str]) -> float:
     return sum(len(p) * (n - 1) for p, n in counts.items() if n > 1) / total if total else 0.0
 
 
-def _dominant_share(words: list[str], sizes: tuple[int, ...] = (2, 3, 4, 6, 9, 13)) -> float:
-    """Largest share of the words' characters that one n-gram, said more than once, covers."""
+def _dominant_share(words: list[str], sizes: tuple[int, ...] = (4, 9)) -> float:
+    """Largest share of the words' characters that one n-gram of 2, 4 or 9 words, said more than once, covers.
+
+    A longer n-gram is said twice only where its first words are, so only those places are counted again.
+    """
+    if len(words) < 4:
+        return 0.0
     total = sum(map(len, words))
-    best = 0.0
-    for n in sizes:
-        if len(words) < 2 * n:
+    grams = list(zip(words, words[1:]))
+    counts = Counter(grams)
+    best = 0
+    places = [i for i, gram in enumerate(grams) if counts[gram] > 1]
+    for n in (2, *sizes):
+        if n > 2:
+            grams = {i: tuple(words[i : i + n]) for i in places if i + n <= len(words)}
+            counts = Counter(grams.values())
+            places = [i for i, gram in grams.items() if counts[gram] > 1]
+        if not places or len(words) < 2 * n:
             break
-        gram, times = Counter(zip(*(words[i:] for i in range(n)), strict=False)).most_common(1)[0]
-        if times > 1:
-            best = max(best, min(1.0, times * sum(map(len, gram)) / total))
-    return best
+        times = max(counts.values())
+        best = max(best, max(sum(map(len, gram)) for gram, k in counts.items() if k == times) * times)
+    return min(1.0, best / total)
+
+
+@lru_cache(maxsize=200_000)
+def _is_plain(token: str) -> bool:
+    """A word with nothing but punctuation around it."""
+    return _PLAIN_TOKEN.match(token) is not None
+
+
+@lru_cache(maxsize=100_000)
+def _is_number(token: str) -> bool:
+    return _NUMBER_TOKEN.match(token) is not None
 
 
 def figures(text: str | None) -> dict[str, float]:
     """The figures of one text's body."""
     body = body_of(text)
-    tokens = _TOKEN.findall(body)
+    tokens = body.split()
     out: dict[str, float] = dict.fromkeys((name for name, _ in FIGURES), 0)
     if not tokens:
         return out
-    words = [w.lower() for w in _WORD.findall(body)]
-    lines = [line.strip() for line in body.split("\n") if line.strip()]
+    lines = [line for line in map(str.strip, body.split("\n")) if line]
     dense = sum(map(len, tokens))
-    letters = sum(map(str.isalpha, body))
-    digits = sum(map(str.isdigit, body))
-    common = sum(w in COMMON_WORDS for w in words)
-    prose = 0
+    plain = sum(map(_is_plain, tokens))
+    numbers = sum(map(_is_number, tokens)) if plain < len(tokens) else 0
+    digits = len(_DIGIT.findall(body))
+    words: list[str] = []
+    common = prose = ended = bullets = 0
     for line in lines:
-        mine = [w.lower() for w in _WORD.findall(line)]
+        mine = _WORD.findall(line.lower())
+        words += mine
+        held = sum(map(COMMON_WORDS.__contains__, mine))
+        common += held
+        end = _SENTENCE_END.search(line, max(0, len(line) - 12)) is not None
+        bullet = _BULLET.match(line) is not None
+        ended += end
+        bullets += bullet or _CLOCK.match(line) is not None
         # a line of a sentence is held together by common words, and is no item unless it ends as a sentence
-        if len(mine) >= 2 and sum(w in COMMON_WORDS for w in mine) >= 0.25 * len(mine) and (not _BULLET.match(line) or _SENTENCE_END.search(line)):
+        if len(mine) >= 2 and held >= 0.25 * len(mine) and (end or not bullet):
             prose += len(line)
+    letters = sum(map(len, words))
     out.update(
         n_chars=len(body),
         n_words=len(words),
         n_lines=len(lines),
-        mean_word_length=sum(map(len, words)) / len(words) if words else 0.0,
-        symbol_ratio=(dense - letters - digits) / dense,
+        mean_word_length=letters / len(words) if words else 0.0,
+        symbol_ratio=max(0, dense - letters - digits) / dense,
         digit_ratio=digits / dense,
-        plain_token_share=sum(bool(_PLAIN_TOKEN.match(t)) for t in tokens) / len(tokens),
-        number_token_share=sum(bool(_NUMBER_TOKEN.match(t)) for t in tokens) / len(tokens),
+        plain_token_share=plain / len(tokens),
+        number_token_share=numbers / len(tokens),
         common_word_share=common / len(words) if words else 0.0,
         distinct_word_share=len(set(words)) / len(words) if words else 0.0,
-        line_end_share=sum(bool(_SENTENCE_END.search(line)) for line in lines) / len(lines),
-        bullet_line_share=sum(bool(_BULLET.match(line) or _CLOCK.match(line)) for line in lines) / len(lines),
+        line_end_share=ended / len(lines),
+        bullet_line_share=bullets / len(lines),
         words_per_line=len(words) / len(lines),
         words_per_sentence=len(words) / max(1, len(_SENTENCES.findall(body))),
         duplicate_line_share=_duplicate_share(lines),
@@ -142,7 +164,7 @@ def kind_of(f: dict[str, float]) -> str:
     worded = f["plain_token_share"] >= 0.6 and f["mean_word_length"] >= 2.2
     repetitive = f["dominant_ngram_share"] >= 0.35 or f["duplicate_line_share"] >= 0.4
     if worded and not repetitive:
-        held_together = f["common_word_share"] >= 0.42 or (f["common_word_share"] >= 0.3 and f["line_end_share"] >= 0.3)
+        held_together = f["common_word_share"] >= 0.42 or (f["common_word_share"] >= 0.28 and (f["line_end_share"] >= 0.3 or f["words_per_line"] >= 25))
         if held_together and f["prose_line_share"] >= 0.5:
             return "prose"
         # a language without a word list here: whole sentences of usual length, not broken into items
