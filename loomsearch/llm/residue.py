@@ -264,7 +264,7 @@ MARKUP = {
     "<": re.compile(r"<[A-Z]{3,}(?:_[A-Z]+)*>"),
     "{": re.compile(r"(?<![\w{])\{\d{1,2}\}(?![\w}])"),
     " tbc xxxx": re.compile(r"(?i)\(\w+ TBC X{3,}\)"),
-    " to come": re.compile(r"\bTK(?:\s+TK)?\s+[\w ]{2,40}?\s+to come\b"),
+    " to come": re.compile(r"\bTK(?:\s+TK)?\s+[\w. \-]{2,40}?\s+to come\b"),
     "headline goes here": re.compile(r"(?i)^\s*headline goes here\s*$", re.MULTILINE),
 }
 _KINDS = {**{p: "error" for p in ERROR_PHRASES}, **{p: "notice" for p in NOTICE_PHRASES}, **{p: "filler" for p in FILLER_PHRASES}}
