@@ -50,16 +50,16 @@ class LineKeys:
     """64-bit keys of normalised lines; 0 stands for a line with nothing left."""
 
     def __init__(self) -> None:
-        self._known: dict[str, int] = {}
+        self.known: dict[str, int] = {}
 
     def __call__(self, line: str) -> int:
-        key = self._known.get(line)
+        key = self.known.get(line)
         if key is None:
             text = normal_line(line)
             key = (xxhash.xxh3_64_intdigest(text) >> 1) or 1 if text else 0
-            if len(self._known) >= _CACHE_LINES:
-                self._known.clear()
-            self._known[line] = key
+            if len(self.known) >= _CACHE_LINES:
+                self.known.clear()
+            self.known[line] = key
         return key
 
     def of(self, content: str | None) -> list[int]:
@@ -175,7 +175,8 @@ def own_lines(content: str | None, source: str | None, keys: LineKeys, sets: dic
     if not content:
         return []
     known = sets.get(source or "", frozenset()) if sets is not None else frozenset(column or ())
-    return [line for line in content.split("\n") if keys(line) not in known]
+    remembered = keys.known.get
+    return [line for line in content.split("\n") if (remembered(line) or keys(line)) not in known]
 
 
 def without_repeated_lines(articles: DataFrame, repeated: DataFrame) -> DataFrame:
