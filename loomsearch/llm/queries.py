@@ -108,8 +108,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_top_terms(spark: SparkSession, d: str) -> DataFrame:
     """The five most distinctive terms of every article."""
-    scored = distinctive.scored_terms(distinctive.record_text(read(spark, d, "articles")))
-    return distinctive.top_terms(scored, 5).select("doc_id", "rank", "term", "tf", "cf", F.round("score", 6).alias("score"))
+    best = distinctive.best_terms(distinctive.record_text(read(spark, d, "articles")), 5)
+    return best.select("doc_id", "rank", "term", "tf", "cf", F.round("score", 6).alias("score"))
 
 
 def _sizes(spark: SparkSession, d: str, keep: tuple[str, ...] = ()) -> DataFrame:

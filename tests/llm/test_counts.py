@@ -42,7 +42,7 @@ def test_marks(spark):
     assert {r.d: r.m for r in rows} == {1: "rare", 2: "rare", 3: None, 30: "common", 29: None}
 
 
-def test_distinctive_terms(spark):
+def test_distinctive_terms(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, f"title {i}", " ".join(rng.choices(["the", "of", "bank", "river", "Word_1", "x"], [30, 20, 3, 2, 1, 1], k=40)), None) for i in range(30)]
     rows[4] = (4, "special", "the special special river of the special", None)
@@ -68,3 +68,7 @@ def test_distinctive_terms(spark):
     probes = spark.createDataFrame([(4,), (4,), (None,), (77,)], "doc_id long")
     assert [r.doc_id for r in distinctive.top_terms(distinctive.scored_terms(texts, probes)).collect()] == [4]
     assert distinctive.scored_terms(texts.limit(0)).count() == 0
+    for share in (1e-5, 0.05):  # with all terms known to the workers, and with a rare rest
+        monkeypatch.setattr(distinctive, "KNOWN_SHARE", share)
+        best = {(r.doc_id, r["rank"]): (r.term, round(r.score, 6)) for r in distinctive.best_terms(texts, 3).collect()}
+        assert best == {(r.doc_id, r["rank"]): (r.term, round(r.score, 6)) for r in distinctive.top_terms(distinctive.scored_terms(texts).withColumn("score", F.round("score", 9)), 3).collect()}
