@@ -108,8 +108,8 @@ def plain_word(name: Column) -> Column:
 
 
 def clean_markup_text(text: Column) -> Column:
-    """White space, quotes, parentheses and plus signs in runs become one space."""
-    return F.trim(F.regexp_replace(text, r"""[(\s+)\t"']+""", " "))
+    """Any white space, quotes, parentheses and plus signs in runs become one space."""
+    return F.trim(F.regexp_replace(text, r"""[(\s\p{Z}\x85\x1c-\x1f+)\t"']+""", " "))
 
 
 def levenshtein(a: Column, b: Column) -> Column:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .functions import codec, stem, text, vectors
+from .functions import html, stem, text, vectors
 from .functions.text import STOP_WORDS
 from .operators import boolean, corpus, enrich, expansion, ingest, postings, ranked, results, spelling, suggest
+from .plans import pipeline
 from .plans import query as language
+from .shared import scratch
 from .shipping import ship
 from .sources import files
 
@@ -85,7 +86,7 @@ def alpha_token_counts(spark, d):
     return _documents(spark, d).select("doc_id", F.size(text.alpha_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query(r"SELECT doc_id, regexp_replace(title, '[^\p{L}\p{N}_\s]', ' ', 'g') AS plain, trim(regexp_replace(regexp_replace(title, '[’”“]', ' ', 'g'), '\s+', ' ', 'g')) AS clean, trim(regexp_replace(title, '[(\s+)\t\"'']+', ' ', 'g')) AS markup FROM articles")
+@query(r"SELECT doc_id, regexp_replace(title, '[^\p{L}\p{N}_\s]', ' ', 'g') AS plain, trim(regexp_replace(regexp_replace(title, '[’”“]', ' ', 'g'), '\s+', ' ', 'g')) AS clean, trim(regexp_replace(title, '[(\s\p{Z}\x{85}\x{1c}-\x{1f}+)\t\"'']+', ' ', 'g')) AS markup FROM articles")
 def cleaned_titles(spark, d):
     t = F.col("title")
     return read(spark, d, "articles").select("doc_id", text.non_words_to_space(t).alias("plain"), text.clean_sentence_text(t).alias("clean"), text.clean_markup_text(t).alias("markup"))
@@ -241,7 +242,7 @@ def index_text(spark, d):
 @query(_CLEAN + ", x AS (SELECT term, doc_id FROM clean WHERE term IN ('council', 'bridge')) SELECT term, count(*) AS df FROM x GROUP BY term")
 def term_lookup(spark, d):
     """Point lookup of terms in a written index: the filter reaches the scan."""
-    path = tempfile.mkdtemp(prefix="loom-index-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/loom-index-{id(d)}"
+    path = scratch(spark, "index")
     postings.write_postings(postings.clean_postings(read(spark, d, "index_postings")), path)
     return spark.read.parquet(path).where(F.col("term").isin("council", "bridge")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -642,6 +643,30 @@ def sentiment_encoding(spark, d):
     return read(spark, d, "embeddings").select("vec_id", enrich.sentiment_entries(enrich.rounded_parts(parts)).alias("sentiment"))
 
 
+@query(
+    """
+WITH a AS (SELECT doc_id, title, content FROM articles WHERE content IS NOT NULL AND title IS NOT NULL AND NOT regexp_matches(title || content, '[<&]'))
+SELECT doc_id, trim(regexp_replace(title, '[(\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}+)\\t"'']+', ' ', 'g')) AS title, CASE WHEN len(string_split(content, chr(10))) > 3 THEN trim(regexp_replace(array_to_string(string_split(content, chr(10)), ' '), '[(\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}+)\\t"'']+', ' ', 'g')) END AS content FROM a
+"""
+)
+def html_extract(spark, d):
+    """Titles and texts out of HTML that is made of the articles' lines."""
+    rows = read(spark, d, "articles").where("content is not null and title is not null").where(~F.regexp_like(F.concat("title", "content"), F.lit("[<&]")))
+    paragraphs = F.array_join(F.transform(F.split("content", "\n"), lambda x: F.concat(F.lit("<p>"), x)), "\n")
+    pages = rows.select("doc_id", F.concat(F.lit("<html><h1>"), "title", F.lit("</h1><script>var x = '</p>';</script><!-- <p>no</p> -->"), paragraphs, F.lit("</html>")).alias("html"))
+    return html.extract_pages(pages).select("doc_id", "title", "content")
+
+
+@query()
+def daily_pipeline(spark, d):
+    """Records that the daily job makes of pages whose urls aren't known."""
+    articles = read(spark, d, "articles").where("content is not null")
+    body = F.concat(F.lit("<h1>"), F.coalesce("title", F.lit("")), F.lit("</h1><p>"), F.regexp_replace("content", "\n", "<p>"))
+    pages = articles.where("batch_no > 0").select("url", body.alias("html"), "date", F.col("crawl_date").alias("fetched_at"))
+    day = pipeline.run(pages, articles.where("batch_no = 0").select("url"), 1_000_000)
+    return day.records
+
+
 # --- ingest --------------------------------------------------------------------------------------------------------
 
 _LINKS = """
@@ -775,6 +800,17 @@ def user_sessions(spark, d):
     return sessions(read(spark, d, "events"))
 
 
+@query("SELECT min(doc_id) AS doc_id FROM articles WHERE url IS NOT NULL GROUP BY url")
+def stream_ingest(spark, d):
+    """The articles that a stream over the stored ones takes in: each url once."""
+    from .streaming import ingest as stream
+
+    articles = read(spark, d, "articles")
+    out = scratch(spark, "stream")
+    stream.ingest(stream.read_stream(spark, f"{d}/articles.parquet*", articles.schema), f"{out}/out", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema("doc_id long").parquet(f"{out}/out/records").select("doc_id").distinct()
+
+
 @query()
 def ranked_in_source(spark, d):
     """Each source's three best documents for a query."""
@@ -796,6 +832,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
-
-
-__all__ = ["codec", "oracle_sql", "queries"]

@@ -31,8 +31,9 @@ def first_urls(articles: DataFrame, time: str = "loaded_at", delay: str = "7 day
 
 
 def _once(spark: SparkSession, batch: DataFrame, out: str, number: int) -> DataFrame:
-    """The batch's new urls: not among those of earlier batches, each once."""
-    fresh = batch.where("url is not null").dropDuplicates(["url"])
+    """The batch's new urls: not among those of earlier batches, each once, with its smallest doc_id."""
+    row = F.struct(*[F.col(c) for c in batch.columns])
+    fresh = batch.where("url is not null").groupBy("url").agg(F.min_by(row, "doc_id").alias("row")).select("row.*")
     if number > 0:
         known = spark.read.option("basePath", f"{out}/records").schema("url string, batch long").parquet(f"{out}/records").where(F.col("batch") < number)
         fresh = fresh.join(known.select("url"), "url", "left_anti")

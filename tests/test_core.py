@@ -346,6 +346,21 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(f"{out}/postings").where("term = 'bank'").count() == 4
 
 
+def test_pipeline(spark, tmp_path):
+    from loomsearch.plans import pipeline
+
+    body = "<h1>Bank rates</h1>" + "".join(f"<p>Line {i} of the bank. It rose.</p>" for i in range(5))
+    pages = spark.createDataFrame([("https://www.s.example/news/uk/a/x", body, "2024-01-01", 1), ("https://www.s.example/news/uk/a/x", body, "2024-01-02", 2), ("https://www.s.example/b", None, None, None), ("old", body, "", 0), (None, body, "", 0)], "url string, html string, date string, fetched_at int")
+    day = pipeline.run(pages, spark.createDataFrame([("old",), (None,)], "url string"), 7, stemming=False)
+    records = {r.url: r for r in day.records.collect()}
+    assert sorted(r.doc_id for r in records.values()) == [7, 8]
+    first = records["https://www.s.example/news/uk/a/x"]
+    assert first.topic == "news-uk" and first.source == "s" and first.summary and first.sentiment.startswith('["negative:')
+    assert records["https://www.s.example/b"].summary == enrich.DEFAULT_SUMMARY
+    pipeline.write(day, str(tmp_path), "1")
+    assert spark.read.parquet(f"{tmp_path}/postings").where("term = 'bank'").count() == 1
+
+
 def test_registered_queries_have_statements():
     from loomsearch import registry
 
