@@ -207,6 +207,14 @@ counts AS (SELECT term, count(*) AS n_records, CAST(sum(occurrences) AS BIGINT)
 marked AS (SELECT term, n_records, n_occurrences, CASE WHEN n_records <= 2 THEN 'rare' WHEN n_records >= 0.3 * (SELECT n FROM total) THEN 'common' END AS mark FROM counts)
 """
 
+_REPEATED = r"""
+WITH split AS (SELECT doc_id, coalesce(source, '') AS source, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM articles WHERE content IS NOT NULL AND content <> ''),
+normal AS (SELECT doc_id, source, line_no, line, regexp_replace(regexp_replace(regexp_replace(lower(line), '\p{Nd}+', '', 'g'), '[\s\p{Z}\x{85}\x{1c}-\x{1f}]+', ' ', 'g'), '^[^\p{L}]+|[^\p{L}]+$', '', 'g') AS key FROM split),
+totals AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM articles GROUP BY 1),
+heavy AS (SELECT source, key FROM normal WHERE key <> '' GROUP BY source, key HAVING count(DISTINCT doc_id) >= 5)
+, confirmed AS (SELECT h.source, h.key FROM heavy h JOIN totals t USING (source) JOIN (SELECT source, key, count(DISTINCT doc_id) AS d FROM normal GROUP BY 1, 2) c USING (source, key) WHERE c.d >= 0.02 * t.n)
+"""
+
 SQL: dict[str, str] = {
     "p3_found": _POSTING_COUNTS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p3_terms": _POSTING_COUNTS + "SELECT term, n_records, n_occurrences, mark FROM marked",
@@ -216,12 +224,18 @@ counts AS (SELECT term, count(DISTINCT doc_id) AS n_records, count(*) AS n_occur
 total AS (SELECT count(*) AS n FROM articles WHERE content IS NOT NULL)
 SELECT term, n_records, n_occurrences, CASE WHEN n_records <= 2 THEN 'rare' WHEN n_records >= 0.3 * (SELECT n FROM total) THEN 'common' END AS mark FROM counts
 """,
-    "p2_found": r"""
-WITH split AS (SELECT doc_id, coalesce(source, '') AS source, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM articles WHERE content IS NOT NULL AND content <> ''),
-normal AS (SELECT doc_id, source, line_no, regexp_replace(regexp_replace(regexp_replace(lower(line), '\p{Nd}+', '', 'g'), '[\s\p{Z}\x{85}\x{1c}-\x{1f}]+', ' ', 'g'), '^[^\p{L}]+|[^\p{L}]+$', '', 'g') AS key FROM split),
-totals AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM articles GROUP BY 1),
-heavy AS (SELECT source, key FROM normal WHERE key <> '' GROUP BY source, key HAVING count(DISTINCT doc_id) >= 5)
-, confirmed AS (SELECT h.source, h.key FROM heavy h JOIN totals t USING (source) JOIN (SELECT source, key, count(DISTINCT doc_id) AS d FROM normal GROUP BY 1, 2) c USING (source, key) WHERE c.d >= 0.02 * t.n)
-SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no FROM normal JOIN confirmed USING (source, key)
+    "p2_found": _REPEATED + "SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no FROM normal JOIN confirmed USING (source, key)",
+    "p2_clean": _REPEATED
+    + """, kept AS (SELECT n.doc_id, string_agg(line, chr(10) ORDER BY line_no) AS content, count(*) AS k FROM normal n LEFT JOIN confirmed c USING (source, key) WHERE c.key IS NULL GROUP BY n.doc_id)
+SELECT a.doc_id, CASE WHEN a.content IS NOT NULL THEN coalesce(kept.content, '') END AS content,
+ CAST(CASE WHEN coalesce(a.content, '') = '' THEN 0 ELSE len(string_split(a.content, chr(10))) - coalesce(k, 0) END AS INTEGER) AS n_removed FROM articles a LEFT JOIN kept USING (doc_id)
+""",
+    "p6_found": r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(title, '') || chr(10) || coalesce(content, '')), '[\p{L}\p{N}_]+')) AS term FROM articles),
+tf AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM words WHERE doc_id IN (SELECT doc_id FROM term_probes) GROUP BY doc_id, term),
+len AS (SELECT doc_id, sum(tf) AS l FROM tf GROUP BY doc_id), cf AS (SELECT term, count(*)::DOUBLE AS cf FROM words GROUP BY term), total AS (SELECT count(*)::DOUBLE AS n FROM words),
+cells AS (SELECT doc_id, term, tf, l, cf, n, unnest([tf, l - tf, cf - tf, n - l - cf + tf]) AS o, unnest([l * cf / n, l * (n - cf) / n, (n - l) * cf / n, (n - l) * (n - cf) / n]) AS e FROM tf JOIN len USING (doc_id) JOIN cf USING (term), total),
+score AS (SELECT doc_id, term, CASE WHEN tf * (n - l) >= (cf - tf) * l THEN 1 ELSE -1 END * 2 * sum(CASE WHEN o > 0 THEN o * ln(o / e) ELSE 0 END) AS score FROM cells GROUP BY doc_id, term, tf, l, cf, n)
+SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS k FROM score) WHERE k = 1
 """,
 }
