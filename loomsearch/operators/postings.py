@@ -27,12 +27,20 @@ def build_postings(docs: DataFrame, stopping: bool = True, stemming: bool = Fals
     Documents are spread by doc_id before they are cut into tokens, so that grouping by document and term needs no
     further exchange and the texts, not their tokens, are shuffled. A term in every document is no hot key.
     """
-    words = docs.select("doc_id", F.col(text).alias("text")).repartition("doc_id").select("doc_id", analysed(F.col("text"), stopping, stop_words).alias("words"))
-    each = words.select("doc_id", F.posexplode("words").alias("at", "term"))
+    texts = docs.select("doc_id", F.col(text).alias("text"))
+    if terms is None or stemming:
+        texts = texts.repartition("doc_id")
+    words = texts.select("doc_id", analysed(F.col("text"), stopping, stop_words).alias("words"))
+    if terms is not None and not stemming:
+        # few tokens are wanted: they are picked before they become rows, and only they are shuffled
+        placed = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("term")))
+        each = words.select("doc_id", F.explode(F.filter(placed, lambda x: x["term"].isin(*terms) if terms else F.lit(False))).alias("x")).select("doc_id", "x.at", "x.term")
+    else:
+        each = words.select("doc_id", F.posexplode("words").alias("at", "term"))
     if stemming:
         stems = stem_table(each.select("term"))
         each = each.join(bounded_broadcast(stems), "term").select("doc_id", "at", F.col("stem").alias("term"))
-    if terms is not None:
+    if terms is not None and stemming:
         each = each.where(F.col("term").isin(*terms))
     grouped = each.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list((F.col("at") + 1).cast("int"))).alias("positions"))
     return grouped.select("term", "doc_id", "positions", F.size("positions").alias("tf"))
