@@ -63,8 +63,9 @@ def cut_texts(texts: DataFrame, min_seen: int = MIN_SEEN, max_terminal_share: fl
     seen = seen.unionByName(words.select(F.col("word").alias("gram"), F.col("n").alias("seen")))
 
     marked = F.coalesce(F.regexp_like(F.substring("text", -200, 200), F.lit("(?i)" + _MISSING_REST)), F.lit(False))
-    # the last three tokens stand in the last line, or in the lines before, if it is very short
-    tail = F.when(F.length(F.substring_index("text", "\n", -3)) < F.length("text"), F.substring_index("text", "\n", -3)).otherwise(F.col("text"))
+    # the last three tokens stand in the last line, or in the lines before, if it has fewer
+    last_line = F.substring_index("text", "\n", -1)
+    tail = F.when(F.regexp_like(last_line, F.lit(r"\S\s+\S+\s+\S+\s+\S")), F.concat(F.lit("\n"), last_line)).otherwise(F.substring_index("text", "\n", -4))
     ends_of = own.select("doc_id", marked.alias("marked"), F.slice(token_classes(tail), -3, 3).alias("t"))
     c = F.col("t")[2]
     lower = F.regexp_like("c", F.lit(r"^[\p{Ll}\p{M}']+$"))
