@@ -288,7 +288,7 @@ def test_ingest(spark):
 
 
 def test_files(spark, tmp_path):
-    day = tmp_path / "bbc"
+    day = tmp_path / "abc"
     day.mkdir()
     (day / "abc_data_20240102_0.csv").write_text('source,title,date,content,hypertext,figcaption,url,doc_id\nabc,"A ""t""",2024/01/02,"two\nlines",,,u1,1\n', encoding="utf-8")
     (day / "abc_data_20240102_3.csv").write_text("source,title,date,content,hypertext,figcaption,url,doc_id\nabc,B,,,,,u2,2\n", encoding="utf-8")
