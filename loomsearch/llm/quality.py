@@ -70,8 +70,8 @@ def _duplicate_share(parts: list[str]) -> float:
     return sum(len(p) * (n - 1) for p, n in counts.items() if n > 1) / total if total else 0.0
 
 
-def _dominant_share(words: list[str], sizes: tuple[int, ...] = (4, 9)) -> float:
-    """Largest share of the words' characters that one n-gram of 2, 4 or 9 words, said more than once, covers.
+def _dominant_share(words: list[str], sizes: tuple[int, ...] = (3, 4, 6, 9, 13)) -> float:
+    """Largest share of the words' characters that one n-gram of 2, 3, 4, 6, 9 or 13 words, said more than once, covers.
 
     A longer n-gram is said twice only where its first words are, so only those places are counted again.
     """

@@ -143,3 +143,13 @@ def test_quality(spark):
     assert got[4] == "junk"
     figures = quality.figures("h\none line\none line\n\nother")
     assert figures["n_lines"] == 3 and 0 < figures["duplicate_line_share"] < 0.5
+
+
+@pytest.mark.parametrize(("n_words", "share"), [(3, 1.0), (6, 1.0), (26, 13 / 26), (30, 13 / 30)])
+def test_dominant_share_of_repeated_blocks(n_words, share):
+    # a block of different words of one length, said again and again on one line: 3, 6 and 13 words cover more of it than 2, 4 or 9
+    words = [a + b for a in "abcdef" for b in "ghijkl"][:n_words]
+    assert quality._dominant_share(words * 4) == pytest.approx(share)
+    if n_words > 6:
+        text = "A headline\n" + " ".join(("the of and to in was for on with as by it they " + " ".join(words[13:])).split() * 4) + "."
+        assert quality.figures(text)["dominant_ngram_share"] >= 0.35 and quality.kind_of(quality.figures(text)) == "junk"
