@@ -153,3 +153,20 @@ def test_dominant_share_of_repeated_blocks(n_words, share):
     if n_words > 6:
         text = "A headline\n" + " ".join(("the of and to in was for on with as by it they " + " ".join(words[13:])).split() * 4) + "."
         assert quality.figures(text)["dominant_ngram_share"] >= 0.35 and quality.kind_of(quality.figures(text)) == "junk"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "il ponte era chiuso da anni\nma il consiglio ha detto che non lo apre\nperché la città non ha i soldi\ne la gente del quartiere è stanca di aspettare",
+        "a ponte foi fechada em maio\nmas o conselho não disse quando\nporque a cidade não tem dinheiro para isso\ne os vizinhos já não querem esperar mais",
+        "de brug is al jaren dicht\nmaar de raad wil er niet over praten\nomdat er geen geld voor is\nen de mensen zijn het wachten nu wel zat",
+    ],
+)
+def test_prose_of_more_languages(body):
+    # short lines without end marks: only common words hold them together
+    assert quality.kind_of(quality.figures("A headline\n" + body)) == "prose"
+
+
+def test_common_words_are_whole():
+    assert {"into", "through", "werden", "sein", "sans", "entre", "cuando", "anche", "também", "het"} <= quality.COMMON_WORDS
