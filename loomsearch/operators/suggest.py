@@ -1,7 +1,7 @@
 """Query suggestion over a dictionary of words and word pairs.
 
-The dictionary is a table; a session keeps its most frequent entries, counted against a bound, in sorted lists on the
-driver, where a prefix is a range of the list. A longer dictionary answers by a prefix filter on the table.
+The dictionary is a table; a session keeps it, counted against a bound, in sorted lists on the driver, where a prefix is
+a range of the list. A longer dictionary answers by filters on the table.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, node_name_of
+from ..functions.text import STOP_WORDS, node_name, node_name_of
 
 #: Entries that a session keeps on the driver.
 MAX_ENTRIES = 200_000
@@ -57,8 +57,10 @@ class Suggester:
 
     @classmethod
     def of(cls, dictionary: DataFrame, **options) -> Suggester:
-        """From a dictionary table: its most frequent entries up to the bound, ties in text order."""
-        rows = dictionary.select("text", "count").orderBy(F.desc("count"), "text").limit(MAX_ENTRIES).collect()
+        """From a dictionary table: most frequent entries first, ties in text order; beyond the bound, the table is asked."""
+        rows = dictionary.select("text", "count").orderBy(F.desc("count"), "text").limit(MAX_ENTRIES + 1).collect()
+        if len(rows) > MAX_ENTRIES:
+            return TableSuggester(dictionary, **options)
         return cls(((r["text"], r["count"]) for r in rows), **options)
 
     def count_of(self, word: str) -> int | None:
@@ -80,6 +82,21 @@ class Suggester:
         names.sort(key=lambda n: (-self.words.get(self._names[n], 0), len(n), n))
         return [self._names[n] for n in names[: size + 1]]
 
+    def _reach(self, text: str) -> tuple[int, set[str]]:
+        """(letters, names): how far into a text some word goes on, and the names of words that the text begins with."""
+        end, names = 0, set()
+        while end < len(text):
+            low, high = self._range(text[: end + 1])
+            if low == high:
+                break
+            end += 1
+            if text[:end] in self._names:
+                names.add(text[:end])
+        return end, names
+
+    def _word(self, name: str) -> str:
+        return self._names[name]
+
     def walk(self, text: str) -> tuple[list[str], str, str]:
         """(words, prefix, rest): the dictionary words a text begins with, the prefix reached after them, and what is left.
 
@@ -92,17 +109,12 @@ class Suggester:
             if text[at] == " ":
                 at += 1
                 continue
-            end, taken = at, None
-            while end < len(text):
-                low, high = self._range(text[at : end + 1])
-                if low == high:
-                    break
-                end += 1
-                if text[at:end] in self._names and (end == len(text) or text[end] == " "):
-                    taken = end
+            letters, names = self._reach(text[at:])
+            end = at + letters
+            taken = max((at + len(n) for n in names if text[at + len(n) : at + len(n) + 1] in ("", " ")), default=None)
             if taken is None:
                 return words, text[at:end], text[end:]
-            word = self._names[text[at:taken]]
+            word = self._word(text[at:taken])
             if words and word.startswith(words[-1]):
                 words.pop()
             if word not in words:
@@ -110,11 +122,15 @@ class Suggester:
             at = taken
         return words, "", ""
 
+    def _entries(self, word: str, max_cost: int, size: int) -> Iterable[str]:
+        """The entries that may be near to a word, in dictionary order."""
+        return self.words
+
     def _near(self, word: str, max_cost: int, size: int) -> tuple[int, list[str]]:
         """The entries nearest to a word: tried in dictionary order, ending at the first that is closer than 2."""
         found: dict[int, list[str]] = {}
         n = 0
-        for entry in self.words:
+        for entry in self._entries(word, max_cost, size):
             if abs(len(entry) - len(word)) > max_cost:
                 continue
             distance = levenshtein(word, entry)
@@ -186,3 +202,56 @@ class Suggester:
             seen.update(found[1:])
             out.append(" ".join([head, " ".join([found[0], *tail][:2] if len(found) > 1 else found)]))
         return out
+
+
+class TableSuggester(Suggester):
+    """Suggestions from a dictionary table too long for the driver: each step of a search is a filter on the whole table."""
+
+    def __init__(self, dictionary: DataFrame, stop_words: frozenset[str] = STOP_WORDS, index_pairs: bool = False, synonyms: dict[str, list[str]] | None = None) -> None:
+        super().__init__((), stop_words, index_pairs, synonyms)
+        # the order in which near words are tried stays when counts are set
+        self._table = dictionary.select("text", "count", F.col("count").alias("order"), node_name(F.col("text")).alias("name")).persist()
+        self._pairs = index_pairs
+
+    def _named(self) -> DataFrame:
+        return self._table.where("name != ''" if self._pairs else "name != '' and not contains(text, ' ')")
+
+    def count_of(self, word: str) -> int | None:
+        row = self._table.where(F.col("text") == node_name_of(word)).select("count").first()
+        return row["count"] if row else None
+
+    def set_count(self, word: str, count: int) -> None:
+        self._table = self._table.withColumn("count", F.when(F.col("text") == word, F.lit(count)).otherwise(F.col("count")))
+        self.search.cache_clear()
+
+    def below(self, prefix: str, size: int) -> list[str]:
+        rows = self._named().where(F.col("name").startswith(prefix) & (F.col("name") != prefix))
+        # of entries with one name the first in dictionary order
+        rows = rows.groupBy("name").agg(F.min(F.struct((-F.col("order")).alias("o"), "text", "count")).alias("e"))
+        best = rows.select("name", "e.text", "e.count").orderBy(F.desc("count"), F.length("name"), "name").limit(size + 1).collect()
+        found = {r["name"]: (-r["count"], len(r["name"]), r["name"], r["text"]) for r in best}
+        low, high = self._range(prefix)
+        for name in self._sorted[low:high]:
+            if name != prefix and name not in found and self._first(name) is None:
+                found[name] = (0, len(name), name, self._names[name])
+        return [entry[3] for entry in sorted(found.values())[: size + 1]]
+
+    def _first(self, name: str) -> str | None:
+        row = self._named().where(F.col("name") == name).orderBy(F.desc("order"), "text").select("text").first()
+        return row["text"] if row else None
+
+    def _word(self, name: str) -> str:
+        return self._first(name) or self._names[name]
+
+    def _reach(self, text: str) -> tuple[int, set[str]]:
+        starts = [text[:k] for k in range(1, len(text) + 1)]
+        name = F.col("name")
+        rows = self._named().where(name.startswith(text[0]))
+        furthest = F.max(F.greatest(F.lit(0), *[F.when(name.startswith(s), F.lit(len(s))).otherwise(F.lit(0)) for s in starts]))
+        letters, names = rows.agg(furthest, F.collect_set(F.when(name.isin(*starts), name))).first()
+        more, others = super()._reach(text)
+        return max(letters or 0, more), set(names) | others
+
+    def _entries(self, word: str, max_cost: int, size: int) -> Iterable[str]:
+        near = (F.abs(F.length("text") - len(word)) <= max_cost) & (F.levenshtein(F.col("text"), F.lit(word)) < max_cost)
+        return [r["text"] for r in self._table.where(near).orderBy(F.desc("order"), "text").select("text").limit(size).collect()]

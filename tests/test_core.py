@@ -253,6 +253,21 @@ def test_suggestions():
     assert s.suggest("coun")[0] == " counter" and s.count_of("market") == 30 and s.count_of("zz") is None
 
 
+def test_suggestions_beyond_the_bound(spark, monkeypatch):
+    rows = [("council", 50), ("councillor", 20), ("counter", 10), ("bridge", 40), ("council bridge", 9), ("market", 30), ("co-op", 3), ("harbour", 1), ("cafe9", 1)]
+    dictionary = spark.createDataFrame(rows, "text string, count long")
+    small = suggest.Suggester.of(dictionary, synonyms={"market": ["bazaar"]})
+    monkeypatch.setattr(suggest, "MAX_ENTRIES", 4)
+    large = suggest.Suggester.of(dictionary, synonyms={"market": ["bazaar"]})
+    assert large.suggest("harb") == [" harbour"] and large.suggest("harbuor") == small.suggest("harbuor") and large.count_of("harbour") == 1
+    for query in ("coun", "old brid", "", "markat", "council brid", "harbor", "co op", "cafe 9", "baz", "zzzz", "council bridgf"):
+        assert large.suggest(query) == small.suggest(query), query
+    assert large.walk("council brid") == small.walk("council brid")
+    for s in (small, large):
+        s.set_count("counter", 99)
+    assert large.suggest("coun") == small.suggest("coun") and large.count_of("zz") is None
+
+
 def test_corpus(spark, docs):
     pairs = {(r["first"], r["second"]): r["count"] for r in corpus.bigram_counts(docs).collect()}
     assert pairs["word", "word"] == 2 and ("bank", "the") not in pairs and pairs["of", "england"] == 1
