@@ -3,7 +3,8 @@
 Method, in built-in SQL expressions only: word trigrams are counted inside the texts and at their ends; each
 text's final trigram is joined, and a text is cut where its final trigram is frequent inside texts but almost
 never ends one. Where the trigram is too rare to tell, it is asked for with its last word as any word, then the
-bigram decides, then the last token. Each text is judged by the others' ends, not by its own. A mark that
+bigram decides, then the last token. Each text is judged by the others' ends, not by its own; equal texts are counted
+once and judged as one, so that copies don't speak for each other. A mark that
 stands for a missing rest (an ellipsis, a broken entity or tag, a replacement character) decides at once.
 
 Tokens are classes, so that names, numbers and half words don't make every trigram a new one: a capitalised
@@ -51,7 +52,11 @@ def cut_texts(texts: DataFrame, min_seen: int = MIN_SEEN, max_terminal_share: fl
     Trigrams are counted once over the whole texts, combined before they are shuffled, so a frequent one is no hot key;
     bigrams and words are added up from the trigrams. Only the last line of a text is read for its end.
     """
-    own = texts.where(F.regexp_like("text", F.lit(r"\S"))).select("doc_id", F.regexp_replace("text", r"\s+$", "").alias("text"))
+    everything = texts.where(F.regexp_like("text", F.lit(r"\S"))).select("doc_id", F.regexp_replace("text", r"\s+$", "").alias("text")).withColumn("key", F.xxhash64("text"))
+    keys = materialise(everything.select("doc_id", "key"), "text-keys")
+    firsts = materialise(keys.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "first-texts")
+    # from here on a text is known by its key; one row of each text is read
+    own = everything.join(bounded_broadcast(firsts), ["doc_id", "key"], "left_semi").select(F.col("key").alias("doc_id"), "text")
     t = token_classes(F.col("text"))
     n = F.greatest(F.size("t") - 2, F.lit(0))
     zipped = F.arrays_zip(F.slice("t", 1, n).alias("a"), F.slice("t", 2, n).alias("b"), F.slice("t", 3, n).alias("c"))
@@ -69,7 +74,7 @@ def cut_texts(texts: DataFrame, min_seen: int = MIN_SEEN, max_terminal_share: fl
     ends_of = own.select("doc_id", marked.alias("marked"), F.slice(token_classes(tail), -3, 3).alias("t"))
     c = F.col("t")[2]
     lower = F.regexp_like("c", F.lit(r"^[\p{Ll}\p{M}']+$"))
-    last = materialise(ends_of.select("doc_id", "marked", F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), c.alias("c")), "final-tokens")
+    last = materialise(ends_of.select("doc_id", "marked", F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), c.alias("c")).dropDuplicates(["doc_id"]), "final-tokens")
     # texts that end in a mark are known to be cut; their ends are no evidence of what ends a text
     plain = last.where("not marked")
     ended = plain.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"))
@@ -105,7 +110,8 @@ def cut_texts(texts: DataFrame, min_seen: int = MIN_SEEN, max_terminal_share: fl
         judged = judged.join(known.select(F.col("gram").alias(level), F.col("share").alias(f"share_{level}")), level, "left")
     share = F.coalesce(*[f"share_{level}" for level in levels])
     reason = F.when(F.col("marked"), "mark").when(~F.col("stopped") & (share <= max_terminal_share), "gram")
-    return judged.select("doc_id", reason.isNotNull().alias("cut"), reason.alias("reason"), share.alias("terminal_share"))
+    verdicts = judged.select(F.col("doc_id").alias("key"), reason.isNotNull().alias("cut"), reason.alias("reason"), share.alias("terminal_share"))
+    return keys.join(verdicts, "key").select("doc_id", "cut", "reason", "terminal_share")
 
 
 def cut_report(flags: DataFrame, articles: DataFrame) -> DataFrame:

@@ -41,6 +41,15 @@ def test_cut_texts(spark):
     assert cut.cut_texts(materialise(spark.createDataFrame([], "doc_id long, text string"), "t")).count() == 0
 
 
+def test_copies_of_a_cut_text_do_not_vouch_for_each_other(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(sentence(rng) for _ in range(8))) for i in range(300)]
+    cut_off = " ".join(sentence(rng) for _ in range(6)) + " They said that the bridge would open the"
+    rows += [(1000 + i, cut_off + " " * (i % 2)) for i in range(150)]
+    flags = {r.doc_id: r.cut for r in cut.cut_texts(materialise(spark.createDataFrame(rows, "doc_id long, text string"), "t")).collect()}
+    assert {i for i, f in flags.items() if f} == set(range(1000, 1150)) and len(flags) == 450
+
+
 def test_cut_report(spark):
     flags = spark.createDataFrame([(1, True), (2, False), (3, False)], "doc_id long, cut boolean")
     articles = spark.createDataFrame([(1, "a", True), (2, "a", True), (3, None, True), (4, "a", True)], "doc_id long, source string, cut boolean")
