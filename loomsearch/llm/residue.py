@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from operator import eq
 
 import ahocorasick
 import pyarrow as pa
@@ -342,22 +341,12 @@ def judge(title: str | None, content: str | None, site_name: str | None, hits: a
     if FILLER_TITLES.match(title.strip()):
         return "residue", 1.0
     openers: set[str] = set()
-    phrases = False
-    low = content.lower()
-    for text in (title.lower(), low):
-        for _, (kind, value) in hits.iter(text):
-            if kind == "markup":
-                openers.add(value)
-            else:
-                phrases = True
+    for text in (title.lower(), content.lower()):
+        openers.update(value for _, (kind, value) in hits.iter(text) if kind == "markup")
     if openers and (has_markup(title, openers) or has_markup(content, openers)):
         return "residue", 1.0
     if not content.strip():
         return "", 0.0
-    if not phrases:
-        words = low.split()
-        if sum(map(eq, words, words[2:])) < 4:  # one or two words said over and over
-            return "", 0.0
     share, kind = coverage(content, site_name, hits)
     return (kind, share) if share >= min_coverage else ("", share)
 

@@ -40,6 +40,18 @@ def test_pages_without_news(content, kind):
     assert residue.judge("A title", content, "Some Post", HITS)[0] == kind
 
 
+@pytest.mark.parametrize(
+    ("content", "kind"),
+    [
+        ("404 Not Found\nnginx/1.18.0", "error"),
+        ("Duis aute irure dolor in reprehenderit in voluptate velit esse.\nExcepteur sint occaecat cupidatat non proident.", "filler"),
+        ("dfg fgh ghj", "filler"),
+    ],
+)
+def test_pages_that_no_phrase_announces(content, kind):
+    assert residue.judge("A title", content, "Some Post", HITS)[0] == kind
+
+
 def test_flags_with_nulls_clashes_and_long_texts(spark):
     rows = [(1, None, None, "a", "x"), (2, "", "", "a", "x"), (3, "t", "word and more " * 50_000, None, "x"), (4, "{{ t }}", None, "a", "x"), (4, "{{ t }}", None, "a", "x")]
     articles = spark.createDataFrame(rows, "doc_id long, title string, content string, source string, site_name string")
