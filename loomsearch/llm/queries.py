@@ -74,7 +74,7 @@ def _news(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _repeats(spark: SparkSession, d: str) -> DataFrame:
-    return history.repeated_articles(spark, materialise(history.prepared(*_news(spark, d)), "prepared", partition_by=["batch_no"]))
+    return history.repeated_articles(spark, history.prepared(*_news(spark, d)), read(spark, d, "articles").count())
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
