@@ -13,8 +13,14 @@ from .lines import line_keys, occurrences, repeated_lines, without_repeated_line
 from .residue import residue_flags
 
 
-def _residue(spark: SparkSession, d: str) -> DataFrame:
-    return residue_flags(read(spark, d, "articles"), read(spark, d, "news_sites"))
+def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    keys = materialise(line_keys(read(spark, d, "articles")), "line-keys")
+    return keys, materialise(repeated_lines(keys), "repeated-lines")
+
+
+def _residue(spark: SparkSession, d: str, repeated: DataFrame | None = None) -> DataFrame:
+    repeated = _lines(spark, d)[1] if repeated is None else repeated
+    return residue_flags(read(spark, d, "articles"), read(spark, d, "news_sites"), repeated)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,11 +32,6 @@ def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
     return _residue(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n_articles"))
 
 
-def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    keys = materialise(line_keys(read(spark, d, "articles")), "line-keys")
-    return keys, materialise(repeated_lines(keys), "repeated-lines")
-
-
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return occurrences(*_lines(spark, d)).distinct()
 
@@ -69,8 +70,9 @@ def p3_words(spark: SparkSession, d: str) -> DataFrame:
 
 def _news(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The articles that are no p1 cases, and the repeated lines of all articles."""
-    flags = materialise(_residue(spark, d).where("kind != ''").select("doc_id").distinct(), "residue-ids")
-    return read(spark, d, "articles").join(bounded_broadcast(flags), "doc_id", "left_anti"), _lines(spark, d)[1]
+    repeated = _lines(spark, d)[1]
+    flags = materialise(_residue(spark, d, repeated).where("kind != ''").select("doc_id").distinct(), "residue-ids")
+    return read(spark, d, "articles").join(bounded_broadcast(flags), "doc_id", "left_anti"), repeated
 
 
 def _repeats(spark: SparkSession, d: str) -> DataFrame:

@@ -1,11 +1,15 @@
 """Problem 1: template residue, filler text, error pages and script notices.
 
-Method: one multi-pattern (Aho-Corasick) automaton holds the openers of placeholder markup and the
-error, filler and script phrases of several languages. A document without a hit costs one scan. Markup
-hits are confirmed by one pattern each; phrase hits cover the sentence they stand in, and a document is
-a case when the covered share of its text is high relative to its length.
+Method: one multi-pattern (Aho-Corasick) automaton holds the openers of placeholder markup, another the words and phrases
+of errors, script notices and filler in ten languages, each with its role: a thing (page, browser, paragraph), a state
+(not found, switched off, blank), a request (reload, enable, replace) or wording that tells by itself. A sentence gives
+evidence if it holds telling wording, or a state or request together with a thing; sentences that report someone's words
+give none. A document is a case when the words matched in such sentences cover a large share of its own text.
 
-A null title or content counts as empty; rows of a null doc_id are kept with their flags.
+The own text is the content without the lines that its source repeats (problem 2). Words that tell nothing (articles,
+pronouns and the like, numbers, addresses and the site's name) count neither as matched nor as text. Markup counts where
+it stands unfilled, not where a text quotes it. A null title or content counts as empty; rows of a null doc_id are kept
+with their flags.
 """
 
 from __future__ import annotations
@@ -18,226 +22,163 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, chosen
+from .common import bounded_broadcast
+from .lines import LineKeys, own_lines, with_site_keys
+from .quality import COMMON_WORDS
 
-#: Share of the text outside site lines that phrases and filler must cover.
+#: Share of the own text's words (by letters) that matched wording must cover.
 MIN_COVERAGE = 0.5
+#: The same for a title.
+MIN_TITLE_COVERAGE = 0.8
 
-# Phrases of error pages and of notices that a page can't be shown, lower case, white space single.
-ERROR_PHRASES = """
-access denied
-access to this page has been denied
-address does not exist
-account suspended
-an unexpected fault occurred
-an error occurred
-an unexpected error
-bad gateway
-bad request
-can't find that page
-cannot find that page
-cannot read property
-check the address or go back
-connection to the database
-connection timed out
-content is not available in your region
-dbpool: timeout
-described file not found
-does not exist on this server
-do not have permission to
-don't have permission to
-error 404
-error establishing
-expected return:
-expired or been withdrawn
-followed an old link
-forbidden
-gateway time-out
-gateway timeout
-has been moved or deleted
-internal server error
-is down for planned work
-is temporarily unavailable
-is undergoing maintenance
-keyerror:
-method not allowed
-moved or never existed
-not available in your country
-not found on this server
-our engineers have been told
-page could not be shown
-page has moved
-page is missing
-page you requested
-page you are looking for
-please try again in a few minutes
-please try again later
-problem loading page
-reload the page.
-request could not be satisfied
-scheduled maintenance
-service unavailable
-slow down and retry
-something went wrong
-stack trace
-templateerror:
-thank you for your patience
-the server at
-too many requests
-traceback (most recent call last)
-try the search box of
-typeerror:
-unavailable for legal reasons
-upgrading
-was not found on
-we looked everywhere
-will be back soon
-you may have followed
-quote this reference
-seite nicht gefunden
-seite wurde nicht gefunden
-die angeforderte adresse
-die angeforderte seite
-zugriff verweigert
-interner serverfehler
-dienst nicht verfügbar
-wartungsarbeiten
-page introuvable
-l'adresse demandée
-la page demandée
-accès refusé
-erreur interne du serveur
-service indisponible
-página no encontrada
-no se ha encontrado la página
-la página solicitada
-la dirección solicitada
-acceso denegado
-error interno del servidor
-servicio no disponible
-pagina non trovata
-accesso negato
-página não encontrada
-pagina niet gevonden
-""".strip().split("\n")
-
-# Phrases of notices about scripts, cookies, blockers and robots.
-NOTICE_PHRASES = """
-activate javascript
-ad blocker is stopping
-allow scripts and cookies
-are you a robot
-are you human
-before opening
-browser does not support
-captcha
-checking that you are not a robot
-checking your browser
-cookies are switched off
-cookies are disabled
-does not work without javascript
-enable cookies
-enable javascript
-i'm not a robot
-javascript is disabled
-javascript is not enabled
-javascript is required
-javascript is turned off
-just a moment...
-just a moment…
-needs javascript
-needs scripts to
-noscript:
-one more step
-please turn on javascript
-requires javascript
-switch it on to
-turn it off and refresh
-unusual traffic
-verify you are human
-verify that you are human
-verifying you are human
-will not work without javascript
-aktivieren sie javascript
-javascript aktivieren
-cookies aktivieren
-kein roboter
-activer javascript
-activez javascript
-activer les cookies
-pas un robot
-active javascript
-activar javascript
-habilite javascript
-habilitar javascript
-activar las cookies
-no eres un robot
-no es un robot
-attivare javascript
-abilita javascript
-ative o javascript
-javascript inschakelen
-""".strip().split("\n")
-
-# Wording of unfilled templates and of filler text.
-FILLER_PHRASES = """
-lorem ipsum
-dolor sit amet
-delete this line and type
-replace this headline with your own
-replace this lead with your own
-replace this paragraph with your own
-replace this quote with your own
-replace this standfirst with your own
-replace this story with your own
-replace this text with your own
-with your own before going live
-in this box.
-that tells readers what happened
-(max 300 characters)
-type your text here
-your text here
-goes here
-text to see how the page breaks
-for checking the layout
-here comes the blank copy
-here comes the dummy copy
-here comes the placeholder copy
-here comes the sample copy
-here comes the specimen copy
-here comes the test copy
-blank paragraph.
-dummy paragraph
-placeholder paragraph
-sample paragraph
-specimen paragraph
-test paragraph
-placeholder text
-dummy text
-sample text
-blindtext
-dies ist ein typoblindtext
-texte de remplissage
-faux texte
-texto de relleno
-texto de ejemplo
-testo segnaposto
-""".strip().split("\n")
-
-# Page furniture that stands beside an error or notice and is neither news nor evidence.
-NEUTRAL_LINES = ("skip to main content", "loading...", "loading…")
-
-# Whole titles of pages and drafts that hold no news.
-FILLER_TITLES = re.compile(r"(?i)^(?:untitled draft|untitled|sample headline\b.*|test article \d*|headline goes here|lorem ipsum.*)$")
-
-# Words of the customary Latin filler.
-LATIN_FILLER = frozenset(
-    "ad adipiscing adipisicing aliqua aliquip amet anim aute cillum commodo consectetur consequat culpa cupidatat deserunt do dolor dolore duis ea eiusmod "
-    "elit enim esse est et eu ex excepteur exercitation fugiat id in incididunt ipsum irure labore laboris laborum lorem magna minim mollit nisi non nostrud "
-    "nulla occaecat officia pariatur proident qui quis reprehenderit sed sint sit sunt tempor ullamco ut velit veniam voluptate".split()
+# Vocabulary of error pages, notices and filler, lower case; by kind and role, one language a line
+# (English, German, French, Spanish, Italian, Portuguese, Dutch, Polish, Swedish, Russian). A comma parts phrases.
+VOCABULARY = {
+    ("error", "thing"): """
+page, pages, site, website, web page, url, link, address, server, servers, host, gateway, proxy, request, requests, requested, connection, network, database, file, files, document, resource, content, article, story, account, access, service, permission, session, front page, home page, homepage, search box, engineers, administrator, webmaster, status, status code, region, country, legal reasons, seconds, minutes, template, cloud, traffic
+seite, webseite, website, adresse, server, verbindung, datenbank, datei, anfrage, dienst, zugriff, artikel, inhalt, startseite, sitzung, konto, anforderung
+page, site, serveur, adresse, lien, connexion, base de données, fichier, requête, service, accès, article, contenu, accueil, compte, ressource
+página, sitio, servidor, dirección, enlace, conexión, base de datos, archivo, solicitud, servicio, acceso, artículo, contenido, inicio, cuenta, recurso
+pagina, sito, server, indirizzo, collegamento, connessione, file, richiesta, servizio, accesso, articolo, contenuto, home, risorsa
+página, site, servidor, endereço, ligação, conexão, ficheiro, arquivo, pedido, serviço, acesso, artigo, conteúdo, início, conta
+pagina, website, server, adres, koppeling, verbinding, bestand, verzoek, dienst, toegang, artikel, inhoud, startpagina, account
+strona, strony, stronę, witryna, serwer, serwera, adres, połączenie, plik, żądanie, usługa, dostęp, artykuł, treść, główna
+sidan, sida, webbplatsen, servern, adressen, länken, anslutning, filen, begäran, tjänsten, åtkomst, artikeln, innehållet, startsidan
+страница, страницы, страницу, сайт, сервер, сервера, адрес, ссылка, соединение, файл, запрос, доступ, служба, статья
+""",
+    ("error", "state"): """
+not found, could not be found, cannot be found, can't be found, couldn't be found, can't find, cannot find, couldn't find, no longer exists, does not exist, doesn't exist, no longer available, not available, isn't available, unavailable, forbidden, denied, refused, restricted, blocked, suspended, timeout, timed out, time-out, bad request, method not allowed, not allowed, not permitted, error, errors, fault, failed, failure, exception, expired, withdrawn, moved, removed, deleted, renamed, gone, missing, gone missing, never existed, broken, invalid, unexpected, unexpected error, overloaded, went wrong, unable, could not be shown, could not be loaded, can't be displayed, cannot be displayed, down for, maintenance, scheduled maintenance, planned work, undergoing, upgrading, being upgraded, be back, back soon, back shortly, rate limit, too many, internal, limit exceeded, undefined, null, mistyped, misspelled, outdated, internal server error, bad gateway, temporarily, received, answered
+nicht gefunden, existiert nicht, nicht verfügbar, nicht erreichbar, verweigert, fehler, interner, abgelaufen, verschoben, gelöscht, entfernt, gesperrt, ungültig, wartungsarbeiten, wartung, vorübergehend, zeitüberschreitung, angeforderte, angefordert, fehlgeschlagen, leider
+introuvable, n'existe plus, n'existe pas, pas trouvée, indisponible, refusé, interdit, erreur, interne, expiré, déplacée, supprimée, maintenance, momentanément, temporairement, demandée, délai, échoué, désolé
+no encontrada, no encontrado, no existe, no se ha encontrado, no se encuentra, no disponible, denegado, prohibido, error, interno, caducado, movida, eliminada, mantenimiento, temporalmente, solicitada, tiempo de espera, falló, lo sentimos
+non trovata, non trovato, non esiste, non è stata trovata, non disponibile, negato, vietato, errore, interno, scaduto, spostata, rimossa, eliminata, manutenzione, temporaneamente, richiesta, richiesto, scaduta, siamo spiacenti, spiacenti
+não encontrada, não encontrado, não existe, não foi encontrada, indisponível, negado, proibido, erro, interno, expirado, movida, removida, eliminada, manutenção, temporariamente, solicitada, falhou, desculpe
+niet gevonden, bestaat niet, niet beschikbaar, geweigerd, verboden, fout, interne, verlopen, verplaatst, verwijderd, onderhoud, tijdelijk, opgevraagde, mislukt, helaas
+nie znaleziono, nie istnieje, nie została znaleziona, niedostępna, niedostępny, odmowa, zabroniony, błąd, wewnętrzny, wygasła, przeniesiona, usunięta, konserwacja, prace, tymczasowo, żądana, przepraszamy
+hittades inte, finns inte, kunde inte hittas, ej tillgänglig, inte tillgänglig, nekad, förbjuden, fel, internt, flyttad, borttagen, underhåll, tillfälligt, begärda, tyvärr
+не найдена, не найден, не существует, недоступна, недоступен, запрещён, запрещен, ошибка, внутренняя, удалена, перемещена, обслуживание, временно, запрошенная, извините
+""",
+    ("error", "request"): """
+please, try, try again, retry, again, later, reload, refresh, go back, head back, return, return to, check, check the address, check the spelling, contact, contact us, quote, visit, search, searching, searching for, use the search, slow down, wait, come back, start over, sorry, oops, whoops, hmm, apologies, apologise, apologize, inconvenience, patience, thank you for your patience, expected return, working on it, looked everywhere, looking for, followed, you may have followed, told, continue, support
+bitte, versuchen, erneut, später, prüfen, überprüfen, zurück, aktualisieren, laden, kontaktieren, suchen, entschuldigung, geduld
+veuillez, réessayer, réessayez, plus tard, vérifier, vérifiez, retour, recharger, contacter, recherche, patience, excusez
+por favor, inténtelo, intente, inténtalo, de nuevo, más tarde, compruebe, verifique, volver, vuelva, recargar, contacte, buscar, disculpe, paciencia
+per favore, riprova, riprovare, più tardi, controlla, verifica, torna, tornare, ricarica, contatta, cerca, ci scusiamo, pazienza
+tente, novamente, mais tarde, verifique, voltar, volte, recarregar, contacte, pesquisar, pedimos desculpa, paciência
+probeer, opnieuw, later, controleer, terug, vernieuw, neem contact, zoek, excuses, geduld
+proszę, spróbuj, ponownie, później, sprawdź, wróć, odśwież, skontaktuj, szukaj, cierpliwość
+försök, igen, senare, kontrollera, tillbaka, ladda om, kontakta, sök, ursäkta, tålamod
+пожалуйста, попробуйте, снова, позже, проверьте, вернитесь, обновите, свяжитесь, поиск, терпение
+""",
+    ("error", "telling"): """
+page not found, 404 error, access denied, internal server error, bad gateway, gateway timeout, gateway time-out, service unavailable, too many requests, something went wrong, error establishing, could not be satisfied, problem loading page, traceback, most recent call last, stack trace, core dumped, segmentation fault, fatal error, uncaught exception, syntax error, unhandled exception, null pointer, will be back soon, thank you for your patience, http error, cannot read property, dbpool, moved or never existed, isn't here, aren't here
+seite nicht gefunden, zugriff verweigert, interner serverfehler
+page introuvable, accès refusé, erreur interne du serveur
+página no encontrada, acceso denegado, error interno del servidor
+pagina non trovata, accesso negato, errore interno del server
+página não encontrada, acesso negado, erro interno do servidor
+pagina niet gevonden, toegang geweigerd
+nie znaleziono strony, strona nie istnieje, odmowa dostępu
+sidan hittades inte, åtkomst nekad
+страница не найдена, доступ запрещён
+""",
+    ("error", "code"): """
+line, module, function, argument, property, undefined, object, attribute, block, key, body, index, type, value, render, main, exec, call, host, timeout, reference, incident, trace, request id, ray id, id, debug, caused by, ms
+""",
+    ("notice", "thing"): """
+javascript, scripts, script, scripting, noscript, cookies, cookie, browser, browsers, page, site, website, robot, robots, bot, bots, human, captcha, ad blocker, ad blockers, adblock, ad blocking, advertising blocker, tracking, device, settings, features, app, security check, step, step below, box below, checkbox, story, content, comments, articles, network
+browser, cookies, seite, werbeblocker, adblocker, roboter, einstellungen, webseite
+navigateur, cookies, page, bloqueur, publicité, robot, paramètres, site
+navegador, cookies, página, bloqueador, anuncios, robot, configuración, sitio
+browser, cookie, pagina, blocco, pubblicità, robot, impostazioni, sito
+navegador, cookies, página, bloqueador, anúncios, robô, definições, site
+browser, cookies, pagina, adblocker, robot, instellingen, website
+przeglądarka, przeglądarce, przeglądarki, ciasteczka, pliki cookie, strona, strony, stronę, robotem, blokada reklam, ustawieniach, witryna, skryptów, skrypty
+webbläsare, webbläsaren, kakor, sidan, annonsblockerare, robot, inställningar
+браузер, браузере, браузера, страница, страницы, сайт, робот, роботом, настройках, файлы
+""",
+    ("notice", "state"): """
+disabled, turned off, switched off, not enabled, is off, not supported, does not support, doesn't support, unsupported, required, requires, needs, needed, not work, does not work, will not work, cannot keep, signed in, unusual traffic, outdated, old version, stopping, blocking, loading, stay safe, keep safe
+deaktiviert, ausgeschaltet, erforderlich, benötigt, nicht unterstützt, unterstützt nicht, veraltet
+désactivé, désactivés, requis, nécessaire, nécessite, n'est pas pris en charge, obsolète
+desactivado, deshabilitado, necesario, requiere, no es compatible, desactivadas
+disabilitato, disattivato, necessario, richiede, non supporta, richiesto
+desativado, necessário, requer, não suporta
+uitgeschakeld, vereist, nodig, ondersteunt niet
+wyłączona, wyłączony, wyłączone, wymagany, wymaga, wymagana, nie obsługuje, potrzebny
+inaktiverat, avstängt, krävs, behövs, stöds inte
+отключён, отключен, отключены, требуется, необходим, не поддерживает
+""",
+    ("notice", "request"): """
+enable, activate, allow, accept, turn on, turn it off, turn off, switch on, switch it on, whitelist, disable, pause, verify, verify you are, confirm, prove, complete, finishing, finish, solve, tick, click, press, check, checking, checking that, upgrade, update, refresh, reload, continue, proceed, before, please, view, see, read, load, moment, just a moment, one more step, are you, you are human, i'm not a, must allow, properly, uses this to
+aktivieren, erlauben, zulassen, akzeptieren, bestätigen, schalten, deaktivieren, laden, bitte, fortzufahren, fortfahren, anzeigen
+activer, activez, autoriser, autorisez, accepter, confirmez, désactivez, veuillez, continuer, afficher, pour
+activar, active, activa, habilite, habilitar, habilita, permitir, permita, aceptar, confirme, desactive, por favor, continuar
+attiva, attivare, abilita, abilitare, consenti, accetta, conferma, disattiva, per favore, continuare
+ative, ativar, habilite, permita, aceite, confirme, desative, por favor, continuar
+schakel, inschakelen, activeer, sta toe, accepteer, bevestig, gelieve, doorgaan
+włącz, włączyć, aktywuj, zezwól, zaakceptuj, potwierdź, wyłącz, proszę, kontynuować, obsługę, działać, wyświetlić
+aktivera, tillåt, godkänn, bekräfta, stäng av, fortsätta, vänligen
+включите, включить, разрешите, примите, подтвердите, отключите, пожалуйста, продолжить
+""",
+    ("notice", "telling"): """
+enable javascript, javascript is disabled, enable cookies, verify you are human, verify that you are human, i'm not a robot, are you a robot, not a robot, are you human, unusual traffic, just a moment, one more step, checking your browser, checking that you are not a robot, allow scripts, turn on javascript, noscript, needs scripts, ad blocker is stopping
+""",
+    ("filler", "thing"): """
+text, copy, paragraph, paragraphs, headline, title, lead, lede, standfirst, subhead, caption, byline, story, quote, pull quote, article, body, content, sentence, section, slug, summary, teaser, image, photo, picture, line, box, field, layout, page, page breaks, column, readers, characters, words, editor, template, draft
+text, absatz, überschrift, titel, zeile, artikel
+texte, paragraphe, titre, ligne
+texto, párrafo, título, línea
+testo, paragrafo, titolo, riga
+texto, parágrafo, título, linha
+tekst, alinea, kop, regel
+tekst, akapit, tytuł, wiersz, nagłówek
+text, stycke, rubrik, rad
+текст, абзац, заголовок, строка
+""",
+    ("filler", "state"): """
+placeholder, dummy, sample, specimen, blank, test, filler, example, mock, untitled, goes here, to be written, to be added, to be confirmed, to be replaced, tbc, tbd, coming soon, here comes, max, maximum, only, short, layout, breaks, not for publication, replace me
+platzhalter, blindtext, typoblindtext, beispieltext, muster, mustertext
+remplissage, faux, factice, exemple
+relleno, ejemplo, prueba, ficticio
+segnaposto, esempio, prova, riempimento
+exemplo, preenchimento, teste
+voorbeeld, opvultekst, plaatshouder
+przykładowy, zastępczy, wypełniacz, wstaw
+exempel, platshållare, utfyllnad
+пример, заполнитель, замените
+""",
+    ("filler", "request"): """
+replace, replace this, replace with, your own, insert, type, type your, enter, write, write your, add, add a, delete, delete this, edit, put, paste, fill in, remove this, before going live, before publishing, before publication, going live, in this box, in this field, for checking, checking, see how, tells readers, tell readers, what happened, happened, here
+ersetzen, einfügen, eingeben, löschen, schreiben, hier, ihren, hier steht
+remplacer, remplacez, insérer, insérez, saisir, votre, ici
+reemplace, inserte, escriba, su, aquí, borre
+sostituisci, inserisci, scrivi, qui, il tuo
+substitua, insira, escreva, aqui, seu
+vervang, voeg, typ, hier, uw
+wstaw, wpisz, zastąp, tutaj, usuń, swój
+ersätt, skriv, här, din
+введите, вставьте, здесь, удалите, ваш
+""",
+    ("filler", "telling"): """
+lorem ipsum, goes here, placeholder text, dummy text, sample text, dummy copy, sample headline, test article, untitled draft, untitled, with your own, your text here, here comes the placeholder, blindtext, typoblindtext, texte de remplissage, faux texte, texto de relleno, texto de ejemplo, testo segnaposto, texto de exemplo, voorbeeldtekst, przykładowy tekst, platshållartext
+""",
+}
+# Verbs and prepositions by which reports name who said what.
+REPORTING = frozenset(
+    """said says told announced reported reports explained added argued claimed according
+    sagte erklärte teilte berichtete laut dit déclaré expliqué selon dijo explicó anunció según detto spiegato annunciato secondo
+    disse explicou anunciou segundo zei vertelde meldde volgens powiedział powiedziała poinformował według sade enligt сказал сказала сообщил""".split()
+)
+# Words of the customary Latin filler that other languages hardly use, and those that stand between them.
+LATIN_TELLING = frozenset(
+    """adipiscing adipisicing aliqua aliquip amet anim aute cillum commodo consectetur consequat culpa cupidatat deserunt dolore duis eiusmod enim excepteur exercitation fugiat
+    incididunt ipsum irure laboris laborum lorem magna minim mollit nisi nostrud nulla occaecat officia pariatur proident quis reprehenderit tempor ullamco velit veniam voluptate""".split()
 )
-# Runs of neighbouring keys and try-out words.
-KEYBOARD_FILLER = frozenset("asd asdf asdfasdf asdfgh dfg fgh fghj ghj hjkl jkl qwe qwer qwert qwerty qwertyuiop sdf sdfg sdfgh test testing tests uiop wer wert xcv xcvb yxcv zxc zxcv zxcvb zxcvbn".split())
+LATIN_FILLER = LATIN_TELLING | frozenset("ad do dolor ea elit esse est et eu ex id in labore non qui sed sint sit sunt ut".split())
+# Runs of neighbouring keys and try-out words; the latter tell only beside the former or said over and over.
+KEYBOARD_TELLING = frozenset("asd asdf asdfasdf asdfgh dfg fgh fghj ghj hjkl jkl qwe qwer qwerty qwertyuiop sdf sdfg sdfgh uiop xcv xcvb yxcv zxc zxcv zxcvb zxcvbn".split())
+KEYBOARD_FILLER = KEYBOARD_TELLING | frozenset("test testing tests blah bla foo bar baz qwert wer wert".split())
 
 #: Names that a placeholder may carry; a name in capitals or with an underscore or dot is a placeholder by its form.
 _NAME = r"[A-Za-z][\w.\-]*(?:\s[\w.\-]+){0,3}"
@@ -266,103 +207,206 @@ MARKUP = {
     " to come": re.compile(r"\bTK(?:\s+TK)?\s+[\w. \-]{2,40}?\s+to come\b"),
     "headline goes here": re.compile(r"(?i)^\s*headline goes here\s*$", re.MULTILINE),
 }
-_KINDS = {**{p: "error" for p in ERROR_PHRASES}, **{p: "notice" for p in NOTICE_PHRASES}, **{p: "filler" for p in FILLER_PHRASES}}
-
 _SENTENCE = re.compile(r".+?(?:[.!?…]+[)\]”\"']*(?=\s|$)|$)")
-#: Words that tell where Latin or keyboard filler may stand.
-_HINTS = ("lorem", "ipsum", "adipiscing", "consectetur", "eiusmod", "incididunt", "asdf", "qwer", "zxcv", "hjkl", "sdfg", "testing")
-_WORDS = re.compile(r"[^\W\d_]+")
-_STATUS = re.compile(r"^\W*[45]\d\d\s+[A-Z][A-Za-z\- ]{2,30}\W*$")
-_REFERENCE = re.compile(r"(?i)^\W*(?:reference|incident|trace|request id|ray id)\W*:?\s*[0-9a-f]{6,}\W*$")
-_FRAME = re.compile(r'^\s*File "[^"\n]+", line \d+')
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+#: Numbers with what belongs to them, paths, hosts and addresses: neither wording nor text.
+_NEUTRAL = re.compile(r"\d|\w[/\\]|[/\\]\w|\S@\S|\w\.\w")
+_CODE = re.compile(r"(?<![\d.,])[45]\d\d(?![\d,]|\.\d)")
+_EXCEPTION = re.compile(r"\b\w*(?:Error|Exception)\b:?")
+# Lines of program traces.
+_FRAME = re.compile(r'^\s*(?:File "[^"\n]+", line \d+|at [\w.$<>]+\s?\([^)\n]*\)|at \S+:\d+:\d+)')
+_QUOTES = {"'": "'", '"': '"', "“": "”", "‘": "’", "„": "“", "«": "»", "`": "`"}
+
 
+def _phrases() -> dict[str, set[tuple[str, str]]]:
+    out: dict[str, set[tuple[str, str]]] = {}
+    for meaning, text in VOCABULARY.items():
+        for phrase in text.replace("\n", ",").split(","):
+            if phrase.strip():
+                out.setdefault(phrase.strip(), set()).add(meaning)
+    return out
 
-def automaton() -> ahocorasick.Automaton:
+
+PHRASES = _phrases()
+#: Every word of the vocabulary and of the Latin and keyboard filler; no text with too few of them can be a case.
+_VOCABULARY_WORDS = frozenset(w for p in PHRASES for w in _TOKEN.findall(p)) | LATIN_FILLER | KEYBOARD_FILLER
+
+
+def markup_automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for opener in MARKUP:
-        found.add_word(opener, ("markup", opener))
-    for phrase, kind in _KINDS.items():
-        found.add_word(phrase, (kind, phrase))
-    for word in _HINTS:
-        if not found.exists(word):
-            found.add_word(word, ("hint", word))
+        found.add_word(opener, opener)
+    found.make_automaton()
+    return found
+
+
+def wording_automaton() -> ahocorasick.Automaton:
+    """The vocabulary, each phrase with its length and its kinds and roles."""
+    found = ahocorasick.Automaton()
+    for phrase, meanings in PHRASES.items():
+        found.add_word(phrase, (len(phrase), meanings))
     found.make_automaton()
     return found
 
 
 def has_markup(text: str, openers: set[str]) -> bool:
-    return any(MARKUP[opener].search(text) for opener in openers)
+    """Markup that stands unfilled; none that is put in quotation marks."""
+    for opener in openers:
+        for match in MARKUP[opener].finditer(text):
+            before, after = text[match.start() - 1 : match.start()] if match.start() else "", text[match.end() : match.end() + 1]
+            if not (before in _QUOTES and _QUOTES[before] == after):
+                return True
+    return False
+
+
+def _without_neutral(text: str) -> str:
+    return " ".join([t for t in text.split() if not _NEUTRAL.search(t)])
+
+
+def _word_length(words: list[str]) -> int:
+    return sum(len(w) for w in words if w not in COMMON_WORDS)
 
 
-def _filler_line(line: str) -> bool:
+def _filler_words(words: list[str]) -> bool:
     """Latin or keyboard filler, or one or two words said over and over."""
-    words = _WORDS.findall(line.lower())
-    if len(words) < 4:
-        return bool(words) and all(w in KEYBOARD_FILLER for w in words)
-    return sum(w in LATIN_FILLER for w in words) >= 0.8 * len(words) or sum(w in KEYBOARD_FILLER for w in words) >= 0.7 * len(words) or (len(words) >= 8 and len(set(words)) <= 2)
+    if len(words) >= 8 and len(set(words)) <= 2:
+        return True
+    if any(w in LATIN_TELLING for w in words) and sum(w in LATIN_FILLER for w in words) >= 0.8 * len(words) and (len(words) >= 4 or "ipsum" in words):
+        return True
+    tried = sum(w in KEYBOARD_FILLER for w in words)
+    return tried >= 0.7 * len(words) and (any(w in KEYBOARD_TELLING for w in words) or (len(words) >= 4 and len(set(words)) <= 2))
+
+
+def judged_sentence(sentence: str, site: str, hits: ahocorasick.Automaton) -> tuple[int, dict[str, int], set[str]]:
+    """(letters of its words, letters of them that each kind's wording covers, the kinds that the sentence gives evidence for)."""
+    if _FRAME.match(sentence):
+        n = max(1, _word_length([w.lower() for w in _TOKEN.findall(sentence)]))
+        return n, {"error": n}, {"error"}
+    code = _CODE.search(sentence) is not None
+    exception = _EXCEPTION.match(sentence.strip()) is not None
+    if exception:
+        sentence = _EXCEPTION.sub(" ", sentence)
+    text = sentence.lower().replace("’", "'")
+    named = bool(site) and site in text
+    if site:
+        text = text.replace(site, " ").replace(site.replace(" ", ""), " ")
+    text = f" {_without_neutral(text)} "
+    words = [(m.start(), m.group()) for m in _TOKEN.finditer(text)]
+    total = sum(len(w) for _, w in words if w not in COMMON_WORDS)
+    if _filler_words([w for _, w in words]):
+        n = max(1, sum(len(w) for _, w in words))
+        return n, {"filler": n}, {"filler"}
+    if not total:
+        return (0, {"error": 0}, {"error"}) if exception else (0, {}, set())
+    if any(w in REPORTING for _, w in words if not (w == "told" and "engineers" in text)):
+        return total, {}, set()
+    roles: dict[str, set[str]] = {}
+    spans: dict[str, bytearray] = {}
+    for end, (length, meanings) in hits.iter(text):
+        start = end - length + 1
+        # whole words only; the text begins and ends with a space
+        if text[start - 1].isalnum() or text[end + 1].isalnum():
+            continue
+        for kind, role in meanings:
+            roles.setdefault(kind, set()).add(role)
+            spans.setdefault(kind, bytearray(len(text)))[start : end + 1] = b"\1" * length
+    covered = {kind: sum(len(w) for at, w in words if w not in COMMON_WORDS and marks[at]) for kind, marks in spans.items()}
+    evidence = {"error"} if exception else set()
+    for kind, mine in roles.items():
+        thing = "thing" in mine or (kind == "error" and (code or named or exception)) or (kind == "notice" and named)
+        state = "state" in mine or (kind == "error" and code and "thing" in mine)
+        if "telling" in mine or (thing and (state or "request" in mine)) or (kind == "error" and "state" in mine and code):
+            evidence.add(kind)
+        elif not (mine & {"state", "request", "thing"} or exception):
+            covered[kind] = 0
+    return total, covered, evidence
 
 
 def coverage(text: str, site_name: str | None, hits: ahocorasick.Automaton) -> tuple[float, str]:
-    """The covered share of the text that isn't page furniture, and the kind that covers most."""
-    covered: dict[str, int] = {}
-    rest = 0
+    """The covered share of the words (by letters) of a text, and the kind that covers most.
+
+    The wording of a sentence without evidence of its own counts where it covers most of the sentence, and others give evidence.
+    """
+    site = (site_name or "").lower()
+    total = 0
+    sure: dict[str, int] = {}
+    beside: dict[str, int] = {}
     for line in text.split("\n"):
-        line = line.strip()
-        if not line or line.lower() in NEUTRAL_LINES:
-            continue
-        if _filler_line(line):
-            covered["filler"] = covered.get("filler", 0) + len(line)
-            continue
-        if _STATUS.match(line) or _REFERENCE.match(line) or _FRAME.match(line):
-            covered["error"] = covered.get("error", 0) + len(line)
-            continue
-        uncovered = 0
-        hit_in_line = False
         for sentence in _SENTENCE.findall(line):
-            if not sentence.strip():
+            n, covered, evidence = judged_sentence(sentence, site, hits)
+            total += n
+            if not covered:
                 continue
-            kind = next((v[0] for _, v in hits.iter(sentence.lower()) if v[0] in ("error", "notice", "filler")), None)
-            if kind:
-                covered[kind] = covered.get(kind, 0) + len(sentence)
-                hit_in_line = True
-            else:
-                uncovered += len(sentence)
-        # lines that name the site, or are short and no sentence, are furniture; so is the short rest of a covered line
-        furniture = bool(site_name) and site_name.lower() in line.lower()
-        if not furniture and (uncovered >= 90 or (uncovered >= 45 and line[-1] in ".!?…”\"'" and not hit_in_line)):
-            rest += uncovered
-    total = sum(covered.values())
-    return (total / (total + rest), max(covered, key=covered.get)) if total else (0.0, "")
-
-
-def judge(title: str | None, content: str | None, site_name: str | None, hits: ahocorasick.Automaton, min_coverage: float = MIN_COVERAGE) -> tuple[str, float]:
-    """(kind, coverage) of a document; kind is ``''`` where it is no case."""
+            kind = max(sorted(evidence or covered), key=lambda k: covered.get(k, 0))
+            if evidence:
+                covered.setdefault(kind, 0)
+                sure[kind] = sure.get(kind, 0) + covered[kind]
+            elif covered[kind] >= 0.6 * n:
+                beside[kind] = beside.get(kind, 0) + covered[kind]
+    if not sure:
+        return 0.0, ""
+    matched = sum(sure.values()) + sum(beside.values())
+    return (matched / total if total else 1.0), max(sure, key=sure.get)
+
+
+def may_be_case(text: str, min_coverage: float) -> bool:
+    """False where the words of the vocabulary, all counted, can't reach the coverage.
+
+    First with the words of addresses and names as text, where a text would need four fifths of these to be wrongly left
+    out; the few that pass are counted without addresses, and with less than the coverage for the site's names.
+    """
+    text = text.lower().replace("’", "'")
+    for share in (0.2, 0.6):
+        words = _TOKEN.findall(text)
+        distinct = set(words)
+        telling = distinct & _VOCABULARY_WORDS
+        known = other = 0
+        for w in words:
+            if w in telling:
+                known += len(w)
+            elif w not in COMMON_WORDS:
+                other += len(w)
+        # or words said over and over
+        over = len(words) >= 8 and sum(map(len, distinct)) <= 0.65 * sum(map(len, words))
+        if known < share * min_coverage * (known + other) and not over:
+            return False
+        if share < 0.6:
+            text = _without_neutral(text)
+    return True
+
+
+def judge(title: str | None, own: str | None, content: str | None, site_name: str | None, markup: ahocorasick.Automaton, hits: ahocorasick.Automaton, min_coverage: float = MIN_COVERAGE) -> tuple[str, float]:
+    """(kind, coverage) of a document with the ``own`` lines of its content; kind is ``''`` where it is no case."""
     title, content = title or "", content or ""
-    if FILLER_TITLES.match(title.strip()):
-        return "residue", 1.0
-    openers: set[str] = set()
-    for text in (title.lower(), content.lower()):
-        openers.update(value for _, (kind, value) in hits.iter(text) if kind == "markup")
+    openers = {opener for text in (title.lower(), content.lower()) for _, opener in markup.iter(text)}
     if openers and (has_markup(title, openers) or has_markup(content, openers)):
         return "residue", 1.0
-    if not content.strip():
+    if title.strip() and may_be_case(title, MIN_TITLE_COVERAGE):
+        share, kind = coverage(title, site_name, hits)
+        if kind == "filler" and share >= MIN_TITLE_COVERAGE:
+            return "residue", share
+    if not own or not own.strip() or not may_be_case(own, min_coverage):
         return "", 0.0
-    share, kind = coverage(content, site_name, hits)
+    share, kind = coverage(own, site_name, hits)
     return (kind, share) if share >= min_coverage else ("", share)
 
 
-def residue_flags(articles: DataFrame, sites: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+def residue_flags(articles: DataFrame, sites: DataFrame, repeated: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(doc_id, kind, coverage) of every article; kind is ``''`` where the article is no case.
 
-    ``sites`` (source, site_name) is a small fixed table; its names are joined so that lines naming the site count as furniture.
+    ``sites`` (source, site_name) is a small fixed table; ``repeated`` are the lines that its source repeats (problem 2).
     """
     names = sites.groupBy("source").agg(F.min("site_name").alias("site_name"))
-    rows = chosen(articles, ("doc_id", "title", "content", "source")).join(bounded_broadcast(names), "source", "left").select("doc_id", "title", "content", "site_name")
+    prepared, sets = with_site_keys(articles.select("doc_id", "title", "content", "source"), repeated)
+    rows = prepared.join(bounded_broadcast(names), "source", "left").select("doc_id", "title", "content", "source", "site_name", "site_keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = automaton()
+        markup, hits, keys = markup_automaton(), wording_automaton(), LineKeys()
         for batch in batches:
-            judged = [judge(*row, hits, min_coverage) for row in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            judged = []
+            for title, content, source, name, column in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                own = "\n".join(own_lines(content, source, keys, sets, column))
+                judged.append(judge(title, own, content, name, markup, hits, min_coverage))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in judged], pa.string()), pa.array([c for _, c in judged], pa.float64())], names=["doc_id", "kind", "coverage"])
 
     return rows.mapInArrow(run, "doc_id long, kind string, coverage double")
