@@ -175,6 +175,11 @@ def p9_figures(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality(read(spark, d, "documents"))
 
 
+def p9_labels(spark: SparkSession, d: str) -> DataFrame:
+    """How the kinds agree with the labelled sample."""
+    return quality.agreement(p9_figures(spark, d), read(spark, d, "quality_labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_kinds": p1_kinds,
@@ -197,6 +202,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_figures": p9_figures,
+    "p9_labels": p9_labels,
 }
 
 #: DuckDB statements for the queries that SQL can express over whole tables.

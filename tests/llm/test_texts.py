@@ -169,6 +169,13 @@ def test_dominant_share_of_repeated_blocks(n_words, share):
     [
         "il ponte era chiuso da anni\nma il consiglio ha detto che non lo apre\nperché la città non ha i soldi\ne la gente del quartiere è stanca di aspettare",
         "a ponte foi fechada em maio\nmas o conselho não disse quando\nporque a cidade não tem dinheiro para isso\ne os vizinhos já não querem esperar mais",
+        "most był zamknięty od lat\nale rada nie chce o tym mówić\nbo nie ma na to pieniędzy\ni ludzie są już zmęczeni czekaniem",
+        "bron har varit stängd i flera år\nmen rådet vill inte prata om den\ndå det inte finns pengar till det\noch folk är trötta på att vänta",
+        "мост был закрыт много лет\nно совет не хочет о нём говорить\nпотому что на это нет денег\nи люди уже устали ждать",
+        "köprü yıllardır kapalı ve bu böyle\nama meclis bu konuda bir şey demiyor\nçünkü bunun için para yok\nve daha çok beklemek gerek gibi",
+        "橋は何年も前から閉まっている\nしかし町の議会はその話をしない\nお金がないからだと人々は言う\n待つことに疲れた人も多い",
+        "这座桥已经关闭了很多年\n但是市议会不想谈这件事\n因为他们没有钱来修\n人们等得很累了",
+        "daraja lilifungwa kwa miaka mingi na baraza la mji halitaki kusema lolote kwa sababu hakuna fedha za kulijenga tena na watu wa mtaa huo wamechoka",
         "de brug is al jaren dicht\nmaar de raad wil er niet over praten\nomdat er geen geld voor is\nen de mensen zijn het wachten nu wel zat",
     ],
 )
@@ -179,3 +186,20 @@ def test_prose_of_more_languages(body):
 
 def test_common_words_are_whole():
     assert {"into", "through", "werden", "sein", "sans", "entre", "cuando", "anche", "também", "het"} <= quality.COMMON_WORDS
+
+
+@pytest.mark.parametrize(("body", "kind"), [("東京\n大阪\n名古屋\n札幌\n福岡", "list"), ("market school retailer monthly tower visa student courts planned budget " * 2 + "harbour film ferry", "junk")])
+def test_no_prose(body, kind):
+    assert quality.kind_of(quality.figures("A headline\n" + body)) in (kind, "list", "junk")
+
+
+def test_dominant_share_of_a_long_gram_said_less_often():
+    # "a b" is said three times, but the long one covers more
+    words = "a b x a b y a b longphrase1 word1 z longphrase1 word1".split()
+    assert quality._dominant_share(words) == pytest.approx(32 / sum(map(len, words)))
+
+
+def test_agreement(spark):
+    documents = spark.createDataFrame([(1, "h\nIt was the end of the day, and they said so."), (2, "h\n- red ship\n- blue road\n- two banks"), (3, "h\n#~*!- ►★ =_?.!")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, "prose"), (1, "prose"), (2, "list"), (3, None), (9, "junk")], "doc_id long, label string")
+    assert {(r.label, r.kind, r.held_out, r.n) for r in quality.agreement(quality.quality(documents), labels).collect()} == {("prose", "prose", True, 1), ("list", "list", False, 1)}
