@@ -64,6 +64,26 @@ def test_pack_keeps_everything_within_capacity(sizes):
     assert all(sum(sizes[i] for i in part) <= 100 for part in parts)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 100), max_size=60), st.integers(0, 2))
+def test_pack_needs_no_more_than_first_fit_decreasing(sizes, kind):
+    sizes = [s if kind == 0 else 1 + s * 2 // 3 if kind == 1 else 20 + s * 6 // 10 for s in sizes]
+    n = len(packing.pack(sizes, 100))
+    assert packing.lower_bound(sizes, 100) <= n <= len(packing.first_fit_decreasing(sizes, 100))
+
+
+def test_pack_is_tight():
+    rng = random.Random(5)
+    for low, high, capacity in ((1, 512, 512), (400, 1400, 2048), (20, 900, 2048), (50, 400, 8192)):
+        sizes = [rng.randrange(low, high + 1) for _ in range(400)]
+        assert len(packing.pack(sizes, capacity)) <= packing.lower_bound(sizes, capacity) * 1.03 + 1
+
+
+def test_packed_texts_takes_apart_what_overfills_a_window():
+    rows = packing.packed_texts([1005, 200, 100, 99, 1], 100)
+    assert {r[0] for r in rows if r[2] > 1} == {0, 1} and sum(r[3] for r in rows) == 1405 and len({r[4] for r in rows}) == 15
+
+
 def test_differencing_balances():
     sums = [sum([8, 7, 6, 5, 4][i] for i in part) for part in packing.differencing([8, 7, 6, 5, 4], 2)]
     assert sorted(sums) == [14, 16]
