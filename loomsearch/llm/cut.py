@@ -2,14 +2,14 @@
 
 Method, in built-in SQL expressions only: word trigrams are counted inside the texts and at their ends; each
 text's final trigram is joined, and a text is cut where its final trigram is frequent inside texts but almost
-never ends one. Where the trigram is too rare to tell, it is asked for with its last word as any word, then the
-bigram decides, then the last token. Each text is judged by the others' ends, not by its own; equal texts are counted
-once and judged as one, so that copies don't speak for each other. A mark that
-stands for a missing rest (an ellipsis, a broken entity or tag, a replacement character) decides at once.
-
-Tokens are classes, so that names, numbers and half words don't make every trigram a new one: a capitalised
-word, a number, a lower-case word of six letters or more; shorter words, punctuation and line breaks stand for
-themselves. Null, empty and blank texts are not judged.
+never ends one. A trigram of words that is too rare to tell (names, numbers, half words) is asked for as a trigram of
+classes (a capitalised word, a number, a lower-case word of six letters or more; shorter words, punctuation and line
+breaks stand for themselves), then with its last word as any word, then the bigram decides, then the last token. Each
+text is judged by the others' ends, not by its own; equal texts are counted once and judged as one, so that copies don't
+speak for each other. A text that ends in a full stop, a question or exclamation mark or a quotation isn't cut; a mark
+that stands for a missing rest (an ellipsis, a broken entity or tag, a replacement character) decides at once.
+
+Null, empty and blank texts are not judged.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise
+from .common import BROADCAST_ROWS, bounded_broadcast, materialise
 
 #: A gram must be seen so often in other places to decide.
 MIN_SEEN = 30
@@ -25,10 +25,14 @@ MIN_SEEN = 30
 MIN_ENDED = 2
 #: A short word is half of a longer one if it stands inside so small a share of the longer one's texts.
 HALF_WORD_SHARE = 0.01
+#: A trigram of words ends texts often if it ends at least so many others, and this share of its places; in between the classes tell.
+OFTEN_ENDED = 3
+OFTEN_SHARE = 0.05
 #: A gram that ends a text in at most this share of its occurrences is "almost never terminal".
 MAX_TERMINAL_SHARE = 0.006
 
-# What an unfinished text ends with when its rest was taken off by a program.
+# Tokens that end a sentence; what an unfinished text ends with when its rest was taken off by a program.
+_STOPS = (".", "!", "?", '"')
 _MISSING_REST = (
     r"(?:…|\.\.\.|�|\[\s*…\s*\]|\[\+\d+ chars\]|\[cont(?:\.|inued)?\]|\(cont(?:\.|inued)?\)?|&#?\w{1,7};?|\\u[0-9a-fA-F]{0,4}|\\x[0-9a-fA-F]{0,2}|<!--|</?[A-Za-z]*(?:\s[^<>]*)?|read more|continue reading)\s*$"
 )
@@ -42,6 +46,35 @@ def token_classes(text: Column) -> Column:
     return F.regexp_extract_all(F.concat(F.lit("\n\n"), F.trim(short)), F.lit(r"[\p{L}\p{M}]+(?:'\p{L}+)*|9|\n|[^\s\p{L}\p{M}]"), F.lit(0))
 
 
+def words_of(text: Column) -> Column:
+    """The text's tokens in lower case, numbers as one, after two line breaks that stand for its beginning."""
+    plain = F.regexp_replace(F.lower(F.translate(text, "“”„«»’", "\"\"\"\"\"'")), r"\p{N}+(?:[.,:]\p{N}+)*", "9")
+    return F.regexp_extract_all(F.concat(F.lit("\n\n"), F.trim(plain)), F.lit(r"[\p{L}\p{M}]+(?:'\p{L}+)*|9|\n|[^\s\p{L}\p{M}]"), F.lit(0))
+
+
+def _trigrams(tokens: Column, texts: DataFrame) -> DataFrame:
+    """(a, b, c): each trigram of each text."""
+    n = F.greatest(F.size("t") - 2, F.lit(0))
+    zipped = F.arrays_zip(F.slice("t", 1, n).alias("a"), F.slice("t", 2, n).alias("b"), F.slice("t", 3, n).alias("c"))
+    return texts.select(tokens.alias("t")).select(F.explode(zipped).alias("g")).select("g.a", "g.b", "g.c")
+
+
+def _word_shares(own: DataFrame, ends: DataFrame, min_seen: int, max_terminal_share: float) -> DataFrame:
+    """(wa, wb, wc, share): of the final trigrams of words that are seen often enough, in which share of their places they end a text.
+
+    Only the trigrams that end a text are counted; they are combined before they are shuffled.
+    """
+    ended = materialise(ends.where("not marked").groupBy("wa", "wb", "wc").agg(F.count(F.lit(1)).alias("ended")), "final-words")
+    inside = _trigrams(words_of(F.col("text")), own).toDF("wa", "wb", "wc")
+    asked = ended.where(~F.col("wc").isin(*_STOPS))
+    counted = inside.join(bounded_broadcast(asked.select("wa", "wb", "wc")), ["wa", "wb", "wc"], "left_semi") if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else inside
+    seen = counted.groupBy("wa", "wb", "wc").agg(F.count(F.lit(1)).alias("seen"))
+    others, ended_others = F.col("seen") - 1, F.col("ended") - 1
+    share = ended_others / others
+    tells = (share <= max_terminal_share) | ((ended_others >= OFTEN_ENDED) & (share >= OFTEN_SHARE))
+    return asked.join(seen, ["wa", "wb", "wc"]).where((others >= min_seen) & tells).select("wa", "wb", "wc", share.alias("word_share"))
+
+
 def _gram(*words: Column | str) -> Column:
     return F.concat_ws(" ", *words)
 
@@ -57,11 +90,7 @@ def cut_texts(texts: DataFrame, min_seen: int = MIN_SEEN, max_terminal_share: fl
     firsts = materialise(keys.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "first-texts")
     # from here on a text is known by its key; one row of each text is read
     own = everything.join(bounded_broadcast(firsts), ["doc_id", "key"], "left_semi").select(F.col("key").alias("doc_id"), "text")
-    t = token_classes(F.col("text"))
-    n = F.greatest(F.size("t") - 2, F.lit(0))
-    zipped = F.arrays_zip(F.slice("t", 1, n).alias("a"), F.slice("t", 2, n).alias("b"), F.slice("t", 3, n).alias("c"))
-    trigrams = own.select(t.alias("t")).select(F.explode(zipped).alias("g")).groupBy("g.a", "g.b", "g.c").agg(F.count(F.lit(1)).alias("n"))
-    trigrams = materialise(trigrams, "trigrams")
+    trigrams = materialise(_trigrams(token_classes(F.col("text")), own).groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")), "trigrams")
     seen = trigrams.select(_gram("a", "b", "c").alias("gram"), F.col("n").alias("seen"))
     seen = seen.unionByName(trigrams.groupBy(_gram("b", "c").alias("gram")).agg(F.sum("n").alias("seen")))
     words = trigrams.groupBy(F.col("c").alias("word")).agg(F.sum("n").alias("n"))
@@ -71,10 +100,11 @@ def cut_texts(texts: DataFrame, min_seen: int = MIN_SEEN, max_terminal_share: fl
     # the last three tokens stand in the last line, or in the lines before, if it has fewer
     last_line = F.substring_index("text", "\n", -1)
     tail = F.when(F.regexp_like(last_line, F.lit(r"\S\s+\S+\s+\S+\s+\S")), F.concat(F.lit("\n"), last_line)).otherwise(F.substring_index("text", "\n", -4))
-    ends_of = own.select("doc_id", marked.alias("marked"), F.slice(token_classes(tail), -3, 3).alias("t"))
-    c = F.col("t")[2]
+    ends_of = own.select("doc_id", marked.alias("marked"), F.slice(token_classes(tail), -3, 3).alias("t"), F.slice(words_of(tail), -3, 3).alias("w"))
+    parts = [F.col(column)[i].alias(name) for column, names in (("t", "abc"), ("w", ("wa", "wb", "wc"))) for i, name in enumerate(names)]
     lower = F.regexp_like("c", F.lit(r"^[\p{Ll}\p{M}']+$"))
-    last = materialise(ends_of.select("doc_id", "marked", F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), c.alias("c")).dropDuplicates(["doc_id"]), "final-tokens")
+    last = materialise(ends_of.select("doc_id", "marked", *parts).dropDuplicates(["doc_id"]), "final-tokens")
+    word_shares = materialise(_word_shares(own, last, min_seen, max_terminal_share), "word-shares")
     # texts that end in a mark are known to be cut; their ends are no evidence of what ends a text
     plain = last.where("not marked")
     ended = plain.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"))
@@ -89,28 +119,32 @@ def cut_texts(texts: DataFrame, min_seen: int = MIN_SEEN, max_terminal_share: fl
     stems = inside.where(F.col("n") >= min_seen).select("n", F.explode(F.expr("transform(sequence(1, length(word)), i -> substring(word, 1, i))")).alias("stem"), "word").where("stem != word").groupBy("stem").agg(F.max("n").alias("longer_n"))
     halves = stems.join(inside.select(F.col("word").alias("stem"), "n"), "stem", "left").where(F.coalesce("n", F.lit(0)) <= HALF_WORD_SHARE * F.col("longer_n")).select(F.col("stem").alias("c"), F.lit(True).alias("half"))
     open_end = F.when(lower, F.lit("xx")).otherwise(F.col("c"))
-    grams = last.join(bounded_broadcast(materialise(halves, "half-words")), "c", "left").select(
-        "doc_id",
-        "marked",
-        F.col("c").isin(".", "!", "?", '"').alias("stopped"),
+    # only texts that end in neither a full stop nor a mark of a missing rest are asked about, and equal ends once
+    open_ends = last.where(~F.col("marked") & ~F.col("c").isin(*_STOPS))
+    ends = ("a", "b", "c", "wa", "wb", "wc")
+    grams = materialise(open_ends.select(*ends).distinct(), "open-ends").join(bounded_broadcast(materialise(halves, "half-words")), "c", "left").select(
+        *ends,
         *[F.when(F.col("half").isNull(), g).alias(name) for name, g in (("e3", _gram("a", "b", "c")), ("e2", _gram("b", "c")), ("e1", F.col("c")))],
         _gram("a", "b", open_end).alias("o3"),
         _gram("b", open_end).alias("o2"),
         open_end.alias("o1"),
     )
-    levels = ("e3", "o3", "e2", "o2", "e1", "o1")
-    asked = grams.select(F.explode(F.array(*levels)).alias("gram")).where("gram is not null").distinct()
     others = F.coalesce("seen", F.lit(0)) - 1
     ended_others = F.coalesce("ended", F.lit(0)) - 1
     enough = (others >= min_seen) | (ended_others >= MIN_ENDED)
-    known = asked.join(ended, "gram", "left").join(seen, "gram", "left").where(enough).select("gram", (F.greatest(ended_others, F.lit(0)) / F.greatest(others, F.lit(1))).alias("share"))
-    known = bounded_broadcast(materialise(known, "terminal-shares"))
-    judged = grams
-    for level in levels:
-        judged = judged.join(known.select(F.col("gram").alias(level), F.col("share").alias(f"share_{level}")), level, "left")
-    share = F.coalesce(*[f"share_{level}" for level in levels])
-    reason = F.when(F.col("marked"), "mark").when(~F.col("stopped") & (share <= max_terminal_share), "gram")
-    verdicts = judged.select(F.col("doc_id").alias("key"), reason.isNotNull().alias("cut"), reason.alias("reason"), share.alias("terminal_share"))
+    judged = grams.join(bounded_broadcast(word_shares), ["wa", "wb", "wc"], "left")
+    # a length at a time: the words and bigrams, which very many texts share, are few and broadcast
+    for length in ("3", "2", "1"):
+        levels = [f"e{length}", f"o{length}"]
+        asked = grams.select(F.explode(F.array(*levels)).alias("gram")).where("gram is not null").distinct()
+        known = asked.join(ended, "gram", "left").join(seen, "gram", "left").where(enough).select("gram", (F.greatest(ended_others, F.lit(0)) / F.greatest(others, F.lit(1))).alias("share"))
+        known = bounded_broadcast(materialise(known, "terminal-shares"))
+        for level in levels:
+            judged = judged.join(known.select(F.col("gram").alias(level), F.col("share").alias(f"share_{level}")), level, "left")
+    share = F.coalesce("word_share", *[f"share_{level}" for level in ("e3", "o3", "e2", "o2", "e1", "o1")])
+    shares = materialise(judged.select(*ends, share.alias("terminal_share")), "end-shares")
+    reason = F.when(F.col("marked"), "mark").when(F.col("terminal_share") <= max_terminal_share, "gram")
+    verdicts = last.join(bounded_broadcast(shares), list(ends), "left").select(F.col("doc_id").alias("key"), reason.isNotNull().alias("cut"), reason.alias("reason"), "terminal_share")
     return keys.join(verdicts, "key").select("doc_id", "cut", "reason", "terminal_share")
 
 
