@@ -229,7 +229,7 @@ def _phrases() -> dict[str, set[tuple[str, str]]]:
 
 PHRASES = _phrases()
 #: Every word of the vocabulary and of the Latin and keyboard filler; no text with too few of them can be a case.
-_VOCABULARY_WORDS = frozenset(w for p in PHRASES for w in _TOKEN.findall(p)) | LATIN_FILLER | KEYBOARD_FILLER
+_VOCABULARY_WORDS = (frozenset(w for p in PHRASES for w in _TOKEN.findall(p)) - COMMON_WORDS) | LATIN_FILLER | KEYBOARD_FILLER
 
 
 def markup_automaton() -> ahocorasick.Automaton:
@@ -358,17 +358,12 @@ def may_be_case(text: str, min_coverage: float) -> bool:
     text = text.lower().replace("’", "'")
     for share in (0.2, 0.6):
         words = _TOKEN.findall(text)
-        distinct = set(words)
-        telling = distinct & _VOCABULARY_WORDS
-        known = other = 0
-        for w in words:
-            if w in telling:
-                known += len(w)
-            elif w not in COMMON_WORDS:
-                other += len(w)
+        letters = sum(map(len, words))
+        known = sum(map(len, filter(_VOCABULARY_WORDS.__contains__, words)))
+        neutral = sum(map(len, filter(COMMON_WORDS.__contains__, words)))
         # or words said over and over
-        over = len(words) >= 8 and sum(map(len, distinct)) <= 0.65 * sum(map(len, words))
-        if known < share * min_coverage * (known + other) and not over:
+        over = len(words) >= 8 and sum(map(len, set(words))) <= 0.65 * letters
+        if known < share * min_coverage * (letters - neutral) and not over:
             return False
         if share < 0.6:
             text = _without_neutral(text)
