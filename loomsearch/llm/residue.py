@@ -211,6 +211,8 @@ _SENTENCE = re.compile(r".+?(?:[.!?…]+[)\]”\"']*(?=\s|$)|$)")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 #: Numbers with what belongs to them, paths, hosts and addresses: neither wording nor text.
 _NEUTRAL = re.compile(r"\d|\w[/\\]|[/\\]\w|\S@\S|\w\.\w")
+_WORDS = re.compile(r"[^\W\d_]+")
+_MARKS = {i: " " for i in range(128) if not chr(i).isalpha()}
 _CODE = re.compile(r"(?<![\d.,])[45]\d\d(?![\d,]|\.\d)")
 _EXCEPTION = re.compile(r"\b\w*(?:Error|Exception)\b:?")
 # Lines of program traces.
@@ -357,7 +359,8 @@ def may_be_case(text: str, min_coverage: float) -> bool:
     """
     text = text.lower().replace("’", "'")
     for share in (0.2, 0.6):
-        words = _TOKEN.findall(text)
+        # the first time words are cut out roughly, which the low share allows for
+        words = _TOKEN.findall(text) if share > 0.2 else text.translate(_MARKS).split() if text.isascii() else _WORDS.findall(text)
         letters = sum(map(len, words))
         known = sum(map(len, filter(_VOCABULARY_WORDS.__contains__, words)))
         neutral = sum(map(len, filter(COMMON_WORDS.__contains__, words)))
