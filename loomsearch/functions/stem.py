@@ -11,6 +11,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Irregular forms whose stems the rules would miss.
 IRREGULAR = {
@@ -139,3 +140,9 @@ def stem_table(words: DataFrame) -> DataFrame:
         return values.map(stem)
 
     return words.select("term").distinct().withColumn("stem", stems("term"))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stemmed(words: pd.Series) -> pd.Series:
+    """The stems of arrays of words, in order; each worker remembers the stems of the words it meets. Null stays null."""
+    return words.map(lambda each: None if each is None else [stem(w) for w in each])

@@ -47,6 +47,12 @@ def without_stop_words(words: Column, stop_words: frozenset[str] = STOP_WORDS) -
     return F.filter(words, lambda t: ~t.isin(*sorted(stop_words))) if stop_words else words
 
 
+def without_stop_words_cased(text: Column, stop_words: frozenset[str] = STOP_WORDS) -> Column:
+    """The words of a text that aren't stop words in any letter case, as they were written, joined by spaces."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({TOKEN})"), F.lit(1))
+    return F.array_join(F.filter(words, lambda t: ~F.lower(t).isin(*sorted(stop_words))) if stop_words else words, " ")
+
+
 def analysed(text: Column, stopping: bool = True, stop_words: frozenset[str] = STOP_WORDS) -> Column:
     """Tokens less stop words; stemming is a step of its own over the distinct vocabulary."""
     return without_stop_words(tokens(text), stop_words) if stopping else tokens(text)

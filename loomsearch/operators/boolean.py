@@ -62,6 +62,26 @@ def search(postings: DataFrame, docs: DataFrame, query: str, stopping: bool = Tr
     return found.where(condition(tree, {t: F.col(n) for t, n in names.items()}, phrase_mode)).select("doc_id")
 
 
+def search_batch(postings: DataFrame, docs: DataFrame, queries: list[tuple[str, str]], stopping: bool = True, stemming: bool = False, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
+    """(query_id, doc_id) of several queries in one plan: the postings of all their terms are grouped by document once.
+
+    Queries that aren't valid find nothing; a query id that stands twice is asked twice and found once.
+    """
+    trees = [(i, language.parse(text, stopping, stemming, stop_words)) for i, text in queries]
+    trees = [(i, tree) for i, tree in trees if tree is not None]
+    terms = list(dict.fromkeys(t for _, tree in trees for t in language.terms(tree)))
+    if not trees:
+        return docs.select(F.lit("").alias("query_id"), "doc_id").limit(0)
+    names = {t: f"p{i}" for i, t in enumerate(terms)}
+    rows = postings.where(F.col("term").isin(*terms)) if terms else postings.limit(0)
+    found = rows.groupBy("doc_id").agg(*[F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(n) for t, n in names.items()] or [F.count(F.lit(1)).alias("n")])
+    if any(language.has_not(tree) for _, tree in trees):
+        found = docs.select("doc_id").distinct().join(found, "doc_id", "left")
+    place = {t: F.col(n) for t, n in names.items()}
+    hits = F.array_distinct(F.array_compact(F.array(*[F.when(condition(tree, place), F.lit(i)) for i, tree in trees])))
+    return found.select(F.explode(hits).alias("query_id"), "doc_id")
+
+
 def set_operation(name: str, left: DataFrame, right: DataFrame | None = None, universe: DataFrame | None = None) -> DataFrame:
     """AND, OR and NOT over sets of doc_ids that are DataFrames of their own."""
     if name == "AND":

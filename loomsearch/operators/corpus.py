@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, bigrams, tokens, words_of_line
-from .sizes import bounded_broadcast
+from ..shared import scratch
+from .sizes import BROADCAST_ROWS, bounded_broadcast
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -25,13 +26,26 @@ def frequent_words(vocab: DataFrame, min_frequency: int) -> DataFrame:
     return vocab.where(F.col("count") > min_frequency)
 
 
+#: Share of all tokens from which a word is joined by broadcast; at most 1 / share words reach it.
+HOT_SHARE = 1e-4
+
+
 def filtered_corpus(docs: DataFrame, vocab: DataFrame, min_frequency: int, text: str = "text") -> DataFrame:
     """(doc_id, text): each document's tokens that occur more than ``min_frequency`` times in the corpus, in order.
 
-    Documents are spread by doc_id first, so putting the words together again needs no exchange beyond the join's.
+    If the frequent words are too many to broadcast, those that hold much of the corpus are broadcast all the same, and
+    only the rest, among which none is hot, is joined by a shuffle.
     """
     each = docs.select("doc_id", F.posexplode(tokens(F.col(text))).alias("at", "word"))
-    kept = each.join(bounded_broadcast(frequent_words(vocab, min_frequency).select("word")), "word", "left_semi")
+    words = frequent_words(vocab, min_frequency)
+    if words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        kept = each.join(F.broadcast(words.select("word")), "word", "left_semi")
+    else:
+        total = vocab.agg(F.sum("count")).first()[0]
+        hot = words.where(F.col("count") > total * HOT_SHARE).select("word", F.lit(True).alias("hot"))
+        marked = each.join(F.broadcast(hot), "word", "left")
+        rest = marked.where("hot is null").join(words.where(F.col("count") <= total * HOT_SHARE).select("word"), "word", "left_semi")
+        kept = marked.where("hot").unionByName(rest)
     joined = kept.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("text"))
     return docs.select("doc_id").join(joined, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -44,7 +58,10 @@ def monograms(vocab: DataFrame, stop_words: frozenset[str] = STOP_WORDS, min_len
 
 def suggestion_dictionary(docs: DataFrame, stop_words: frozenset[str] = STOP_WORDS, text: str = "text") -> DataFrame:
     """(text, count, kind): monograms, and bigrams said more than once whose words are both monograms."""
-    single = monograms(vocabulary(docs, text), stop_words)
+    spark = docs.sparkSession
+    path = scratch(spark, "monograms")
+    monograms(vocabulary(docs, text), stop_words).write.parquet(path)
+    single = spark.read.schema("text string, count long").parquet(path)
     known = bounded_broadcast(single.select("text"))
     double = bigram_counts(docs, text).where("count > 1")
     for side in ("first", "second"):

@@ -10,8 +10,26 @@ from ..functions.stem import stem
 from ..functions.text import STOP_WORDS, analysed
 
 
-def train(docs: DataFrame, text: str = "text", size: int = 200, window: int = 10, min_count: int = 1, seed: int = 7, partitions: int = 1, iterations: int = 1) -> Word2VecModel:
-    """Vectors of the words left after stop words are taken out."""
+#: Texts of which one task trains vectors, about.
+PARTITION_TEXTS = 2_000
+
+
+def saved(model: Word2VecModel, path: str) -> None:
+    """Writes a model to a folder, which ``loaded`` reads."""
+    model.write().overwrite().save(path)
+
+
+def loaded(path: str) -> Word2VecModel:
+    return Word2VecModel.load(path)
+
+
+def train(docs: DataFrame, text: str = "text", size: int = 200, window: int = 10, min_count: int = 1, seed: int = 7, partitions: int | None = None, iterations: int = 1) -> Word2VecModel:
+    """Vectors of the words left after stop words are taken out.
+
+    Without ``partitions`` one is trained for every ``PARTITION_TEXTS`` texts, and their vectors are averaged.
+    """
+    if partitions is None:
+        partitions = max(1, -(-docs.count() // PARTITION_TEXTS))
     rows = docs.select(analysed(F.col(text)).alias("words")).where(F.size("words") > 0)
     return Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, numPartitions=partitions, maxIter=iterations, inputCol="words", outputCol="vector").fit(rows)
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.codec import delta_decoded, delta_encoded
-from ..functions.stem import stem_table
-from ..functions.text import STOP_WORDS, alpha_tokens, analysed
-from .sizes import bounded_broadcast
+from ..functions.stem import stemmed
+from ..functions.text import STOP_WORDS, alpha_tokens, analysed, without_stop_words
+from ..shared import scratch
 
 
 def indexed_text(title: Column, content: Column) -> Column:
@@ -31,15 +31,14 @@ def build_postings(docs: DataFrame, stopping: bool = True, stemming: bool = Fals
     if terms is None or stemming:
         texts = texts.repartition("doc_id")
     words = texts.select("doc_id", analysed(F.col("text"), stopping, stop_words).alias("words"))
+    if stemming:
+        words = words.select("doc_id", stemmed("words").alias("words"))
     if terms is not None and not stemming:
         # few tokens are wanted: they are picked before they become rows, and only they are shuffled
         placed = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("term")))
         each = words.select("doc_id", F.explode(F.filter(placed, lambda x: x["term"].isin(*terms) if terms else F.lit(False))).alias("x")).select("doc_id", "x.at", "x.term")
     else:
         each = words.select("doc_id", F.posexplode("words").alias("at", "term"))
-    if stemming:
-        stems = stem_table(each.select("term"))
-        each = each.join(bounded_broadcast(stems), "term").select("doc_id", "at", F.col("stem").alias("term"))
     if terms is not None and stemming:
         each = each.where(F.col("term").isin(*terms))
     grouped = each.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list((F.col("at") + 1).cast("int"))).alias("positions"))
@@ -60,9 +59,23 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def doc_lengths(docs: DataFrame, text: str = "text", letters_only: bool = False, stopping: bool = True) -> DataFrame:
-    """(doc_id, dl): the number of indexed tokens of each document."""
-    words = alpha_tokens(F.col(text)) if letters_only else analysed(F.col(text), stopping)
+def letter_postings(docs: DataFrame, terms: list[str] | None = None, stop_words: frozenset[str] = frozenset(), text: str = "text") -> DataFrame:
+    """(term, doc_id, tf) over runs of letters: the index of BM25. Without ``stop_words`` every run counts."""
+    texts = docs.select("doc_id", F.col(text).alias("text"))
+    if terms is None:
+        texts = texts.repartition("doc_id")
+    words = texts.select("doc_id", F.explode(without_stop_words(alpha_tokens(F.col("text")), stop_words)).alias("term"))
+    if terms is not None:
+        words = words.where(F.col("term").isin(*terms))
+    return words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+
+
+def doc_lengths(docs: DataFrame, text: str = "text", letters_only: bool = False, stopping: bool = True, stop_words: frozenset[str] | None = None) -> DataFrame:
+    """(doc_id, dl): the number of indexed tokens of each document; of runs of letters, those of ``letter_postings`` with the same stop words."""
+    if letters_only:
+        words = without_stop_words(alpha_tokens(F.col(text)), stop_words or frozenset())
+    else:
+        words = analysed(F.col(text), stopping, STOP_WORDS if stop_words is None else stop_words)
     return docs.select("doc_id", F.size(words).alias("dl"))
 
 
@@ -113,20 +126,39 @@ def index_lines(postings: DataFrame) -> DataFrame:
     return grouped.select("term", F.concat_ws("\n", F.concat_ws(" ", "term", F.col("df").cast("string")), F.array_join(F.col("entries.entry"), "\n")).alias("line"))
 
 
+def index_blocks(postings: DataFrame, block: int = 10_000) -> DataFrame:
+    """(term, block, line): the text form in blocks of doc_ids, so that no row grows with a term's documents."""
+    lines = postings.select("term", F.floor(F.col("doc_id") / block).alias("block"), "doc_id", F.concat(F.lit("\t"), F.col("doc_id"), F.lit(": "), F.array_join("positions", ",")).alias("entry"))
+    grouped = lines.groupBy("term", "block").agg(F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("doc_id", "entry"))).alias("entries"))
+    return grouped.select("term", "block", F.concat_ws("\n", F.concat_ws(" ", "term", F.col("df").cast("string")), F.array_join(F.col("entries.entry"), "\n")).alias("line"))
+
+
+def parsed_index(blocks: DataFrame) -> DataFrame:
+    """(term, doc_id, positions, tf) of index text; ``blocks`` has value, a term's line with its indented lines. Broken lines are left out."""
+    parts = blocks.select(F.split("value", "\n").alias("l"))
+    each = parts.select(F.regexp_extract(F.col("l")[0], r"^(.*) \d+$", 1).alias("term"), F.explode(F.slice("l", 2, F.size("l"))).alias("entry"))
+    numbers = F.transform(F.split(F.regexp_extract("entry", r": ([\d,]*)$", 1), ","), lambda x: x.try_cast("int"))
+    rows = each.select("term", F.regexp_extract("entry", r"^\t(\d+): ", 1).try_cast("long").alias("doc_id"), F.array_compact(numbers).alias("positions"))
+    return rows.where("doc_id is not null and term != ''").select("term", "doc_id", "positions", F.size("positions").alias("tf"))
+
+
 def numbered(rows: DataFrame, order: list[str], start: int = 0, name: str = "doc_id") -> DataFrame:
     """Contiguous numbers from ``start`` in the order of the columns, without one task that sorts everything.
 
     Rows are sorted by range; a partition's numbers begin where the sizes of those before it end. Only those sizes
     reach the driver. ``order`` should be unique for the numbers to be the same in every run.
     """
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    kept = ordered.persist()
+    spark = rows.sparkSession
+    path = scratch(spark, "numbered")
+    # written, so that the numbers stay what they are when a task runs again
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    kept = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
     sizes = kept.groupBy("_part").count().orderBy("_part").collect()
     starts, at = [], start
     for part, n in sizes:
         starts.append((part, at))
         at += n
-    offsets = rows.sparkSession.createDataFrame(starts or [(0, start)], "_part int, _start long")
+    offsets = spark.createDataFrame(starts or [(0, start)], "_part long, _start long")
     place = F.col("_at").bitwiseAND((1 << 33) - 1)
     return kept.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + place).drop("_part", "_at", "_start")
 

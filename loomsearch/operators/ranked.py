@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from math import log10
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,9 +51,33 @@ def tfidf(postings: DataFrame, query: str, n_docs: int, stopping: bool = True, s
     return tfidf_batch(postings, [("q", query)], n_docs, stopping, stemming, stop_words).select("doc_id", "score")
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, query: str, n_docs: int, k1: float = 1.2, b: float = 0.75, included: DataFrame | None = None) -> DataFrame:
-    """(doc_id, score) with idf log10(N / df); a query term counts once. ``included`` restricts the documents, not df."""
-    terms = sorted(dict.fromkeys(w.lower() for w in _letters(query)))
+#: Postings up to which a lookup runs in one task, where nothing is shuffled; what a task sums in well under a second.
+ONE_TASK_POSTINGS = 2_000_000
+
+
+def tfidf_known(postings: DataFrame, terms: Counter[str], df: dict[str, int], n_docs: int) -> DataFrame:
+    """``tfidf`` of terms whose document frequencies are known: one scan of a written index, without a join.
+
+    The frequencies also tell how many postings are read: few are summed by one task, many are shuffled by document.
+    """
+    known = {t: n for t, n in terms.items() if df.get(t)}
+    rows = postings.where(F.col("term").isin(*known)) if known else postings.limit(0)
+    if sum(df[t] for t in known) <= ONE_TASK_POSTINGS:
+        rows = rows.coalesce(1)
+    weight = F.lit(None).cast("double")
+    for term, n in known.items():
+        weight = F.when(F.col("term") == term, F.lit(n * log10(n_docs / df[term]))).otherwise(weight)
+    return rows.select("doc_id", (weight * (1 + F.log10("tf"))).alias("part")).groupBy("doc_id").agg(F.sum("part").alias("score"))
+
+
+def bm25(
+    postings: DataFrame, lengths: DataFrame, query: str, n_docs: int, k1: float = 1.2, b: float = 0.75, included: DataFrame | None = None, stop_words: frozenset[str] = frozenset()
+) -> DataFrame:
+    """(doc_id, score) with idf log10(N / df); a query term counts once. ``included`` restricts the documents, not df.
+
+    With ``stop_words`` these are left out of the query; take them out of ``postings`` and ``lengths`` as well.
+    """
+    terms = sorted(dict.fromkeys(w.lower() for w in _letters(query) if w.lower() not in stop_words))
     rows = postings.where(F.col("term").isin(*terms)) if terms else postings.limit(0)
     stats = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     average = lengths.agg(F.avg("dl")).first()[0] or 1.0

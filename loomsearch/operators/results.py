@@ -66,6 +66,12 @@ def sentiment_parts(json: Column) -> Column:
     return F.struct(*[F.coalesce(total(x), F.lit(0.0)).alias(x) for x in ("negative", "neutral", "positive")])
 
 
+def sentiment_label(parts: Column) -> Column:
+    """The label of the largest of the parts negative, neutral and positive; of equal ones the first."""
+    values = F.array(*[F.struct(F.coalesce(parts[k], F.lit(0.0)).alias("v"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(("negative", "neutral", "positive"))])
+    return F.array_max(values)["k"]
+
+
 def with_sentiment(rows: DataFrame, wanted: str, parts: Column) -> DataFrame:
     """Rows whose strictly largest part is ``wanted``; ties match nothing."""
     others = [x for x in ("negative", "neutral", "positive") if x != wanted]

@@ -23,21 +23,25 @@ def deletion_index(vocab: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     return vocab.where("word is not null").select("word", "count", F.explode(deletes_of("word", F.lit(distance))).alias("part"))
 
 
-def candidates(words: DataFrame, vocab: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
-    """(query, word, count, distance): vocabulary words within the distance of each ``words.query``."""
+def candidates(words: DataFrame, vocab: DataFrame, distance: int = MAX_DISTANCE, deletions: DataFrame | None = None) -> DataFrame:
+    """(query, word, count, distance): vocabulary words within the distance of each ``words.query``.
+
+    ``deletions`` is a written ``deletion_index`` of the vocabulary for the same distance or more; without it one is made.
+    A transposition counts two in the built-in distance, which leaves few pairs to be measured.
+    """
     asked = words.where("query is not null").select("query").distinct()
     parts = asked.select("query", F.explode(deletes_of("query", F.lit(distance))).alias("part"))
-    met = deletion_index(vocab, distance).join(bounded_broadcast(parts), "part").select("query", "word", "count").distinct()
+    known = deletion_index(vocab, distance) if deletions is None else deletions
+    met = known.join(bounded_broadcast(parts), "part").select("query", "word", "count").where(F.levenshtein("query", "word") <= 2 * distance).distinct()
     return met.withColumn("distance", osa_distance("query", "word")).where(F.col("distance") <= distance)
 
 
-def best_words(words: DataFrame, vocab: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
+def best_words(words: DataFrame, vocab: DataFrame, distance: int = MAX_DISTANCE, deletions: DataFrame | None = None) -> DataFrame:
     """(query, word): the known word itself, else the most frequent of the nearest; the word as it is, if none is near. Ties in text order."""
     asked = words.where("query is not null").select("query").distinct()
-    order = F.struct((-F.col("distance")).alias("near"), "count", F.lit(0).alias("z"))
-    ranked = candidates(words, vocab, distance).groupBy("query").agg(F.max(order).alias("best"))
-    nearest = candidates(words, vocab, distance).join(ranked, "query").where("distance = -best.near and count = best.count").groupBy("query").agg(F.min("word").alias("word"))
-    return asked.join(nearest, "query", "left").select("query", F.coalesce("word", "query").alias("word"))
+    order = F.struct("distance", (-F.col("count")).alias("rare"), "word")
+    nearest = candidates(words, vocab, distance, deletions).groupBy("query").agg(F.min(order).alias("best"))
+    return asked.join(nearest, "query", "left").select("query", F.coalesce("best.word", "query").alias("word"))
 
 
 def fuzzy_matches(vocab: DataFrame, query: str, max_cost: int = 2) -> DataFrame:
@@ -53,8 +57,9 @@ class Corrector:
     are left alone. A query without any suggestion comes back as it is.
     """
 
-    def __init__(self, vocab: DataFrame, max_distance: int = MAX_DISTANCE) -> None:
+    def __init__(self, vocab: DataFrame, max_distance: int = MAX_DISTANCE, deletions: DataFrame | None = None) -> None:
         self._vocab = vocab
+        self._deletions = deletions
         self._distance = max_distance
 
     def _known(self, forms: Iterable[str]) -> dict[str, dict[str, int]]:
@@ -63,7 +68,7 @@ class Corrector:
         forms = sorted(set(forms))
         if not forms:
             return {}
-        rows = candidates(spark.createDataFrame([(f,) for f in forms], "query string"), self._vocab, self._distance).collect()
+        rows = candidates(spark.createDataFrame([(f,) for f in forms], "query string"), self._vocab, self._distance, self._deletions).collect()
         out: dict[str, dict[str, int]] = {f: {} for f in forms}
         for row in rows:
             out[row["query"]][row["word"]] = row["count"]

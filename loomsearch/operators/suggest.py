@@ -12,14 +12,48 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import STOP_WORDS, node_name, node_name_of
+from .sizes import bounded_broadcast
 
 #: Entries that a session keeps on the driver.
 MAX_ENTRIES = 200_000
 _LIMIT = 2048
 
 
+def split_synonyms(synonyms: dict[str, list[str]]) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """(whole, partial): synonyms that begin with their word or are begun by it are partial, the others stand for it whole."""
+    whole: dict[str, list[str]] = {}
+    partial: dict[str, list[str]] = {}
+    for word, others in synonyms.items():
+        for other in others:
+            near = other != word and (other.startswith(word) or word.startswith(other))
+            (partial if near else whole).setdefault(word, []).append(other)
+    return whole, partial
+
+
+def with_synonyms(dictionary: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(text, count): the dictionary with the synonyms (word, synonym) of its words, each with its word's count; known texts keep theirs."""
+    named = synonyms.where("word is not null and synonym is not null").join(dictionary.select(F.col("text").alias("word"), "count"), "word")
+    both = dictionary.select("text", "count", F.lit(0).alias("age")).unionByName(named.select(F.col("synonym").alias("text"), "count", F.lit(1).alias("age")))
+    return both.groupBy("text").agg(F.min(F.struct("age", (-F.col("count")).alias("n"))).alias("b")).select("text", (-F.col("b.n")).alias("count"))
+
+
+def word_contexts(dictionary: DataFrame, words: DataFrame, size: int = 5) -> DataFrame:
+    """(word, rank, text, count): for each of ``words`` (word) the most frequent longer entries that hold it as a whole word."""
+    asked = words.where("word is not null").select("word").distinct()
+    parts = dictionary.where(F.contains("text", F.lit(" "))).select("text", "count", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    met = parts.join(bounded_broadcast(asked), "word")
+    rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("count"), "text"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= size).select("word", "rank", "text", "count")
+
+
+def flat_tokens(found: Iterable[Iterable[str]]) -> list[str]:
+    """The words of lists of words, each once, in order."""
+    return list(dict.fromkeys(w for words in found for entry in words for w in entry.split()))
+
+
 def by_prefix(dictionary: DataFrame, prefix: str, size: int = 5) -> DataFrame:
     """(text, count): the most frequent entries that begin with the prefix, itself left out; one more than ``size``."""
     rows = dictionary.where(F.col("text").startswith(prefix) & (F.col("text") != prefix))

@@ -13,6 +13,8 @@ from .functions.text import STOP_WORDS
 from .operators import boolean, corpus, enrich, expansion, ingest, postings, ranked, results, spelling, suggest
 from .plans import pipeline
 from .plans import query as language
+from .plans.engine import SearchEngine
+from .plans.store import IndexStore
 from .shared import scratch
 from .shipping import ship
 from .sources import files
@@ -51,6 +53,17 @@ n AS (SELECT count(DISTINCT doc_id) AS n FROM documents)
 """
 
 
+def _day_sql(column: str) -> str:
+    """The date of a text in any of the forms that occur."""
+    t = f"trim({column}, ' ')"
+    forms = {
+        r"^\d{4}/\d{2}/\d{2}$": "%Y/%m/%d", r"^\d{2}/\d{2}/\d{4}$": "%d/%m/%Y", r"^\d{1,2} [A-Za-z]{3} \d{4}$": "%d %b %Y", r"^\d{1,2} [A-Za-z]+ \d{4}$": "%d %B %Y",
+        r"^[A-Za-z]+ \d{1,2}, \d{4}$": "%B %d, %Y", r"^\d{8}$": "%Y%m%d", r"^\d{2}\.\d{2}\.\d{4}$": "%d.%m.%Y",
+    }
+    cases = " ".join(f"WHEN regexp_matches({t}, '{pattern}') THEN try_strptime({t}, '{form}')" for pattern, form in forms.items())
+    return rf"CAST(CASE WHEN regexp_matches({t}, '^\d{{4}}-\d{{2}}-\d{{2}}') THEN try_strptime(substr({t}, 1, 10), '%Y-%m-%d') {cases} END AS DATE)"
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents")
 
@@ -97,7 +110,11 @@ def sentence_split_counts(spark, d):
     return read(spark, d, "articles").where("content is not null").select("doc_id", F.size(text.segments(F.col("content"))).cast("long").alias("n_segments"))
 
 
-@query()
+@query(
+    r"""
+WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(content, ''), '[’”“]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM articles)
+SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS INTEGER) AS n_sentences FROM c"""
+)
 def sentence_counts(spark, d):
     return read(spark, d, "articles").select("doc_id", F.size(text.sentences(F.col("content"))).alias("n_sentences"))
 
@@ -136,14 +153,19 @@ def link_dates(spark, d):
     return read(spark, d, "sitemap_links").where("lastmod is not null").select("loc", "lastmod", text.day(m).alias("day"), text.found_day(m).alias("found"))
 
 
-@query()
+@query("SELECT doc_id, date, " + _day_sql("date") + " AS day FROM articles")
 def parsed_dates(spark, d):
     """Dates in all the forms that occur."""
     return read(spark, d, "articles").select("doc_id", "date", text.any_day(F.col("date")).alias("day"))
 
 
-@query()
+@query(
+    r"""
+WITH q AS (SELECT doc_id, replace(title, ' ', '%20') AS t FROM articles)
+SELECT doc_id, CASE WHEN NOT regexp_matches(t, '%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|[0-9A-Fa-f]?$)') THEN url_decode(replace(t, '+', '%20')) END AS title FROM q"""
+)
 def decoded_queries(spark, d):
+    """Titles as they come in a request, decoded; null where an escape is broken."""
     return read(spark, d, "articles").select("doc_id", text.decoded_url(F.regexp_replace("title", " ", "%20")).alias("title"))
 
 
@@ -404,14 +426,9 @@ score AS (SELECT doc_id, any_value(source) AS source, round(sum(log10(CAST((SELE
 """
 
 
-def _letter_postings(docs: DataFrame, terms: list[str]) -> DataFrame:
-    words = docs.select("doc_id", F.explode(text.alpha_tokens(F.col("text"))).alias("term")).where(F.col("term").isin(*terms))
-    return words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def _bm25(spark, d, included=None):
     docs = _documents(spark, d)
-    return ranked.bm25(_letter_postings(docs, ["council", "bridge"]), postings.doc_lengths(docs, letters_only=True), "Council bridge", _size(docs), included=included)
+    return ranked.bm25(postings.letter_postings(docs, ["council", "bridge"]), postings.doc_lengths(docs, letters_only=True), "Council bridge", _size(docs), included=included)
 
 
 @query(_BM25 + _TOP + "<= 10")
@@ -491,7 +508,7 @@ def filter_source(spark, d):
     return results.of_source(_documents(spark, d), "harrowpost").select("doc_id", "source")
 
 
-@query()
+@query("SELECT doc_id, date FROM articles WHERE year(" + _day_sql("date") + ") = 2023")
 def filter_year(spark, d):
     """Articles of 2023, whatever the form of their date."""
     return results.in_year(read(spark, d, "articles"), 2023, F.col("date")).select("doc_id", "date")
@@ -608,7 +625,7 @@ def suggestions(spark, d):
 
 @query()
 def word2vec_expand(spark, d):
-    model = expansion.train(_documents(spark, d), size=32, min_count=20)
+    model = expansion.train(_documents(spark, d))
     rows = [(q, *expansion.expanded(model, q)) for q in ("council bridge", "market")]
     return spark.createDataFrame(rows, "query string, expanded string, added array<string>")
 
@@ -644,16 +661,25 @@ def sentiment_encoding(spark, d):
 
 
 @query(
-    """
-WITH a AS (SELECT doc_id, title, content FROM articles WHERE content IS NOT NULL AND title IS NOT NULL AND NOT regexp_matches(title || content, '[<&]'))
-SELECT doc_id, trim(regexp_replace(title, '[(\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}+)\\t"'']+', ' ', 'g')) AS title, CASE WHEN len(string_split(content, chr(10))) > 3 THEN trim(regexp_replace(array_to_string(string_split(content, chr(10)), ' '), '[(\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}+)\\t"'']+', ' ', 'g')) END AS content FROM a
+    r"""
+WITH a AS (SELECT doc_id, coalesce(title, '') AS title, coalesce(content, '') AS content FROM articles)
+SELECT doc_id, trim(regexp_replace(title, '[(\s\p{Z}\x{85}\x{1c}-\x{1f}+)\t"'']+', ' ', 'g')) AS title,
+ CASE WHEN len(string_split(content, chr(10))) > 3 THEN trim(regexp_replace(array_to_string(string_split(content, chr(10)), ' '), '[(\s\p{Z}\x{85}\x{1c}-\x{1f}+)\t"'']+', ' ', 'g')) END AS content FROM a
 """
 )
 def html_extract(spark, d):
-    """Titles and texts out of HTML that is made of the articles' lines."""
-    rows = read(spark, d, "articles").where("content is not null and title is not null").where(~F.regexp_like(F.concat("title", "content"), F.lit("[<&]")))
-    paragraphs = F.array_join(F.transform(F.split("content", "\n"), lambda x: F.concat(F.lit("<p>"), x)), "\n")
-    pages = rows.select("doc_id", F.concat(F.lit("<html><h1>"), "title", F.lit("</h1><script>var x = '</p>';</script><!-- <p>no</p> -->"), paragraphs, F.lit("</html>")).alias("html"))
+    """Titles and texts out of HTML that is made of all articles: escaped characters, nested tags, attributes, scripts and comments."""
+
+    def escaped(text):
+        out = text
+        for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&#62;"), ("’", "&rsquo;")):
+            out = F.replace(out, F.lit(plain), F.lit(entity))
+        return out
+
+    rows = read(spark, d, "articles").select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"))
+    lines = F.transform(F.split("content", "\n"), lambda x: F.concat(F.lit("<p class='a' title=\"x > y\"><span>"), escaped(x), F.lit("</span></p>")))
+    head = F.lit("<html><head><title>none</title></head><body><h1 id=h>")
+    pages = rows.select("doc_id", F.concat(head, escaped(F.col("title")), F.lit("</h1><script>var x = '</p>';</script><!-- <p>no</p> -->"), F.array_join(lines, "\n"), F.lit("</body></html>")).alias("html"))
     return html.extract_pages(pages).select("doc_id", "title", "content")
 
 
@@ -706,15 +732,33 @@ def reset_ids(spark, d):
     return postings.renumbered(ingest.distinct_links(read(spark, d, "sitemap_links")).select("loc", "lastmod", "source"), ["loc"])
 
 
-@query()
+@query(
+    _LINKS
+    + f", a AS (SELECT loc, coalesce({_day_sql('lastmod')}, DATE '2000-01-01') AS day FROM links) SELECT loc, day, CAST(date_diff('day', day, DATE '2024-06-30') AS INTEGER) AS age_days FROM a WHERE date_diff('day', day, DATE '2024-06-30') <= 365"
+)
 def recent_links(spark, d):
     """Links of the last year before a day, with their age."""
     return ingest.recent_links(ingest.distinct_links(read(spark, d, "sitemap_links")), F.lit("2024-06-30").cast("date"), 365).select("loc", "day", "age_days")
 
 
-@query()
+_PAIR = "''([^'',{}]*|it''s)'': ''([^'']*)''"
+_MAP = """CASE WHEN regexp_matches({0}, '^\\{{(PAIR(, )?)*\\}}$') THEN array_to_string(list_sort(list_transform(regexp_extract_all({0}, 'PAIR', 0), lambda x: regexp_replace(x, '^PAIR$', '\\1=\\2'))), '|') END"""
+
+
+def _map_sql(column: str) -> str:
+    """A map's entries as sorted ``key=value`` texts; the apostrophe that occurs stands in "it's"."""
+    return f"{_MAP.format(column)} AS {column}".replace("PAIR", _PAIR)
+
+
+@query(f"SELECT doc_id, {_map_sql('hypertext')}, {_map_sql('figcaption')} FROM articles")
 def decoded_maps(spark, d):
-    return read(spark, d, "articles").select("doc_id", ingest.decoded_map(F.col("hypertext")).alias("hypertext"), ingest.decoded_map(F.col("figcaption")).alias("figcaption"))
+    """The links and captions of every article, each map as sorted ``key=value`` texts; null where it is broken."""
+
+    def entries(column: str):
+        pairs = F.transform(F.map_entries(ingest.decoded_map(F.col(column))), lambda e: F.concat_ws("=", e["key"], e["value"]))
+        return F.array_join(F.sort_array(pairs), "|").alias(column)
+
+    return read(spark, d, "articles").select("doc_id", entries("hypertext"), entries("figcaption"))
 
 
 @query(
@@ -826,6 +870,145 @@ SQL["ranked_in_source"] = (
 )
 
 
+# --- kept sessions and further sources -----------------------------------------------------------------------------
+
+
+@query(
+    _BASE
+    + f"""SELECT 'q1' AS query_id, doc_id FROM ({_has('council')} INTERSECT {_has('bridge')}) UNION ALL SELECT 'q2', doc_id FROM (SELECT DISTINCT doc_id FROM documents EXCEPT {_has('council')})
+ UNION ALL SELECT 'q3', doc_id FROM ({_phrase_sql('clear', 'council')}) UNION ALL SELECT 'q4', doc_id FROM ({_near_sql(5, 'council', 'bridge')})"""
+)
+def bool_batch(spark, d):
+    """Several boolean queries in one plan."""
+    docs = _documents(spark, d)
+    asked = [("q1", "council AND bridge"), ("q2", "NOT council"), ("q3", '"clear council"'), ("q4", "#5(council, bridge)"), ("q5", "council NOT bridge")]
+    return boolean.search_batch(_index(spark, d, ["bridge", "clear", "council"]), docs, asked)
+
+
+def _store(spark, d, docs: DataFrame | None = None) -> IndexStore:
+    return IndexStore.build(spark, _documents(spark, d) if docs is None else docs, scratch(spark, "store"), stemming=False)
+
+
+@query(_tfidf_sql({"council": 1, "bridge": 1, "market": 1}) + "SELECT doc_id, score FROM score")
+def store_tfidf(spark, d):
+    """A ranked query of a session that opens a written index."""
+    store = IndexStore.open(spark, _store(spark, d).path)
+    return SearchEngine(spark, _documents(spark, d), stemming=False, store=store).tfidf("the council and the bridge market")
+
+
+@query(_BM25 + _TOP + "<= 10")
+def store_bm25(spark, d):
+    """BM25 of a session that opens a written index."""
+    store = IndexStore.open(spark, _store(spark, d).path)
+    return SearchEngine(spark, _documents(spark, d), stemming=False, store=store).bm25("Council bridge")
+
+
+@query(_BASE + "SELECT term, doc_id, CAST(tf AS INTEGER) AS tf FROM post")
+def store_update(spark, d):
+    """An index to which a third of the documents is added later."""
+    docs = _documents(spark, d)
+    store = _store(spark, d, docs.where("doc_id % 3 != 0"))
+    return store.updated(None, docs.where("doc_id % 3 = 0"), stemming=False).postings.select("term", "doc_id", "tf")
+
+
+@query(_BASE + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term")
+def store_update_terms(spark, d):
+    """The term statistics after an update."""
+    docs = _documents(spark, d)
+    return _store(spark, d, docs.where("doc_id % 3 != 0")).updated(None, docs.where("doc_id % 3 = 0"), stemming=False).terms
+
+
+@query(_BM25.replace(r"regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')", rf"list_filter(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+'), lambda x: NOT list_contains({_STOP_LIST}, x))") + _TOP + "<= 10")
+def bm25_without_stop_words(spark, d):
+    docs = _documents(spark, d)
+    rows = postings.letter_postings(docs, ["council", "bridge"], STOP_WORDS)
+    return ranked.top(ranked.bm25(rows, postings.doc_lengths(docs, letters_only=True, stop_words=STOP_WORDS), "the Council of the bridge", _size(docs), stop_words=STOP_WORDS), 10)
+
+
+@query(rf"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(coalesce(title, ''), '[\p{{L}}\p{{N}}_]+'), lambda x: NOT list_contains({_STOP_LIST}, lower(x))), ' ') AS title FROM articles")
+def cased_titles(spark, d):
+    """Titles without stop words, in their letter case."""
+    return read(spark, d, "articles").select("doc_id", text.without_stop_words_cased(F.col("title")).alias("title"))
+
+
+@query(r"SELECT doc_id FROM articles WHERE regexp_matches(title, '[^\s\x0B]') AND regexp_matches(content, '[^\s\x0B]')")
+def complete_articles(spark, d):
+    return ingest.complete_articles(read(spark, d, "articles")).select("doc_id")
+
+
+@query(
+    _RECORDS.rstrip()
+    + """ SELECT coalesce(n.doc_id, rec.doc_id) AS doc_id, CASE WHEN n.doc_id IS NOT NULL THEN n.title ELSE rec.title END AS title, CASE WHEN n.doc_id IS NULL THEN rec.summary END AS summary, CASE WHEN n.doc_id IS NOT NULL THEN n.source ELSE rec.source END AS source
+FROM rec FULL JOIN (SELECT doc_id, title, source FROM articles WHERE doc_id % 5 = 0) n ON rec.doc_id = n.doc_id"""
+)
+def record_upsert(spark, d):
+    """Whole records put in for every fifth article."""
+    newer = read(spark, d, "articles").where("doc_id % 5 = 0").select("doc_id", "title", "source")
+    return ingest.merged_records(_records(spark, d).select("doc_id", "title", "summary", "source"), newer).select("doc_id", "title", "summary", "source")
+
+
+@query(_CLEAN + "SELECT term, doc_id, array_to_string(positions, ',') AS positions FROM clean WHERE term <> ''")
+def index_text_round_trip(spark, d):
+    """The index written in its text form and read again."""
+    path = scratch(spark, "index-text")
+    files.write_index_text(postings.clean_postings(read(spark, d, "index_postings")), path)
+    return files.read_index_text(spark, path).select("term", "doc_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query(_CLEAN + "SELECT term, doc_id, array_to_string(positions, ',') AS positions FROM clean")
+def index_json_round_trip(spark, d):
+    """The index written as JSON lines, positions as differences, and read again."""
+    path = scratch(spark, "index-json")
+    files.write_index_json(postings.clean_postings(read(spark, d, "index_postings")), path)
+    return files.read_index_json(spark, path).select("term", "doc_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, nullif(title, '') AS title, nullif(content, '') AS body FROM articles")
+def numbered_csv(spark, d):
+    """Articles as CSV, numbered by their rows when they are read."""
+    path = scratch(spark, "csv")
+    rows = read(spark, d, "articles").select("doc_id", F.nullif("title", F.lit("")).alias("title"), F.nullif("content", F.lit("")).alias("body"))
+    files.write_csv(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), path)
+    return files.read_numbered_csv(spark, path)
+
+
+@query("SELECT doc_id, source, coalesce(title, '') AS title, coalesce(content, '') AS content, crawl_date, frag_index FROM articles WHERE source IS NOT NULL AND crawl_date IS NOT NULL")
+def fragment_files(spark, d):
+    """All articles written as fragment files and read again."""
+    path = scratch(spark, "fragments")
+    rows = read(spark, d, "articles").where("source is not null and crawl_date is not null")
+    files.write_named_fragments(rows, path)
+    return files.read_fragments(spark, path).select("doc_id", "source", "title", "content", "crawl_date", "frag_index")
+
+
+@query(
+    _LINES.rstrip()
+    + r""", w2 AS (SELECT first || ' ' || second AS text, count, unnest(list_distinct([first, second])) AS word FROM big WHERE count > 1)
+SELECT word, CAST(k AS INTEGER) AS rank, text, count FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY count DESC, text) AS k FROM w2 WHERE word IN ('council', 'bridge')) WHERE k <= 5"""
+)
+def word_contexts(spark, d):
+    """The word pairs that words stand in most often."""
+    pairs = corpus.bigram_counts(_documents(spark, d)).where("count > 1").select(F.concat_ws(" ", "first", "second").alias("text"), "count")
+    return suggest.word_contexts(pairs, spark.createDataFrame([("council",), ("bridge",), ("zzz",)], "word string"))
+
+
+@query(
+    _VOCAB.rstrip()
+    + """, s AS (SELECT * FROM (VALUES ('council', 'assembly hall'), ('bridge', 'council'), ('zzz', 'none')) AS t(word, synonym)), m AS (SELECT word AS text, count FROM vc WHERE count > 50)
+SELECT text, count FROM m UNION ALL SELECT s.synonym, max(m.count) FROM s JOIN m ON s.word = m.text WHERE s.synonym NOT IN (SELECT text FROM m) GROUP BY 1"""
+)
+def synonym_dictionary(spark, d):
+    """A dictionary with the synonyms of its words."""
+    words = corpus.vocabulary(_documents(spark, d)).where("count > 50").select(F.col("word").alias("text"), "count")
+    return suggest.with_synonyms(words, spark.createDataFrame([("council", "assembly hall"), ("bridge", "council"), ("zzz", "none")], "word string, synonym string"))
+
+
+@query(_PARTS + "SELECT doc_id, CASE WHEN positive > neutral AND positive > negative THEN 'positive' WHEN neutral > negative THEN 'neutral' ELSE 'negative' END AS label FROM x")
+def sentiment_labels(spark, d):
+    """The label of the largest part of each record's sentiment, of equal ones the more negative."""
+    return _records(spark, d).select("doc_id", results.sentiment_label(results.sentiment_parts(F.col("sentiment"))).alias("label"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -1,5 +1,6 @@
 """The search core against brute force, unit vectors and edge cases."""
 
+import datetime
 import random
 import re
 
@@ -9,9 +10,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomsearch.functions import codec, distance, html, stem, text
-from loomsearch.operators import boolean, corpus, enrich, ingest, postings, ranked, results, spelling, suggest
+from loomsearch.operators import boolean, corpus, enrich, expansion, ingest, postings, ranked, results, spelling, suggest
+from loomsearch.operators.postings import build_postings
 from loomsearch.plans import query as language
-from loomsearch.plans.engine import ResultCache, SearchEngine
+from loomsearch.plans.engine import FrequencyCache, ResultCache, SearchEngine
+from loomsearch.plans.store import IndexStore
 from loomsearch.sources import files
 from loomsearch.streaming import ingest as stream
 
@@ -297,7 +300,7 @@ def test_ingest(spark):
     assert [r.loc for r in ingest.recent_links(one, F.lit("2024-02-10").cast("date"), 30).collect()] == ["a"]
     assert [r.loc for r in ingest.new_links(one, spark.createDataFrame([("a",), (None,)], "url string")).collect()] == ["b"]
     maps = spark.createDataFrame([("{'a': '/x'}",), ("{'a': 'it's'}",), (None,)], "m string").select(ingest.decoded_map(F.col("m")).alias("d")).collect()
-    assert maps[0].d == {"a": "/x"} and maps[1].d is None and maps[2].d is None
+    assert maps[0].d == {"a": "/x"} and maps[1].d == {"a": "it's"} and maps[2].d is None
     fragments = spark.createDataFrame([("s", 1, None), ("s", 2, None)], "source string, frag_index int, crawl_date date")
     assert [r.frag_index for r in postings.unprocessed(fragments, fragments.where("frag_index = 1")).collect()] == [2]
 
@@ -346,6 +349,100 @@ def test_cache():
     assert cache.get(("a",)) is None
 
 
+def test_store(spark, docs, tmp_path):
+    path = str(tmp_path / "store")
+    store = IndexStore.build(spark, docs.where("doc_id < 4"), path, stemming=False)
+    newer = store.updated(None, docs.where("doc_id >= 4"), stemming=False)
+    whole = build_postings(docs)
+    rows = lambda df: sorted((r.term, r.doc_id, tuple(r.positions)) for r in df.collect())
+    assert rows(newer.postings) == rows(whole) and IndexStore.versions(spark, path) == [1, 2]
+    assert store.meta[0] == 3 and IndexStore.open(spark, path).meta[0] == docs.count()
+    assert newer.frequencies(["bank", "zzz"]) == {"bank": whole.where("term = 'bank'").count(), "zzz": 0}
+    plain, kept = SearchEngine(spark, docs, stemming=False), SearchEngine(spark, docs, stemming=False, store=newer)
+    for text in ("bank rates", "bank bank zzz", "zzz", ""):
+        assert {(r.doc_id, r.score) for r in plain.tfidf(text).collect()} == {(r.doc_id, r.score) for r in kept.tfidf(text).collect()}
+    assert plain.bm25("bank rates").collect() == kept.bm25("bank rates").collect()
+    assert plain.bm25("the bank", stop_words=frozenset({"the"})).count() == plain.bm25("bank").count()
+    assert kept.spellcheck("bnak") == plain.spellcheck("bnak")
+    with pytest.raises(FileNotFoundError):
+        IndexStore.open(spark, str(tmp_path / "none"))
+
+
+def test_boolean_batch(spark, docs):
+    rows = build_postings(docs)
+    asked = [("a", "bank AND rates"), ("b", "NOT bank"), ("c", "bank NOT rates"), ("d", "zzz"), ("a", "bank AND rates"), ("e", "")]
+    got = {(r.query_id, r.doc_id) for r in boolean.search_batch(rows, docs, asked).collect()}
+    assert got == {(i, r.doc_id) for i, q in asked for r in boolean.search(rows, docs, q).collect()}
+    assert boolean.search_batch(rows, docs, [("x", "AND AND")]).count() == 0
+
+
+def test_pages_around_are_remembered(spark, docs):
+    engine = SearchEngine(spark, docs, stemming=False)
+    asked = []
+    find = engine.boolean
+    engine.boolean = lambda q: asked.append(q) or find(q)
+    pages = [engine.answer("boolean", "NOT zzz", n, 2) for n in (1, 2, 3)]
+    assert asked == ["NOT zzz"] and [r["doc_id"] for p in pages for r in p["rows"]] == sorted(r.doc_id for r in docs.collect())[:6]
+    assert [r["rank"] for p in pages for r in p["rows"]] == list(range(1, 7)) and engine.answer("boolean", "NOT zzz", 40, 2)["rows"] == []
+
+
+def test_frequency_cache():
+    cache = FrequencyCache(2)
+    cache.set("a", 1)
+    cache.set("b", 2)
+    assert cache.get("a") == 1 and cache.get("z") is None
+    cache.set("c", 3)
+    assert cache.get("b") is None and cache.get("a") == 1 and cache.get("c") == 3
+    cache.set("a", 5)
+    assert cache.get("a") == 5
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("{}", {}), ("{'a': 'b'}", {"a": "b"}), ("{'it's': 'x's y'}", {"it's": "x's y"}), ("{'a': \"b's\", 'c': 'd'}", {"a": "b's", "c": "d"}), ("{'a': 'b', 'a': 'c'}", {"a": "c"}),
+        ("{, 'a': 'b'}", None), ("{'a': }", None), ("", None), (None, None), ("{'a': 'b'", None), ("{'a': 'x, y: z'}", {"a": "x, y: z"}),
+    ],
+)
+def test_decoded_map(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(ingest.decoded_map(F.col("t")).alias("m")).first().m == want
+
+
+def test_records_and_sources(spark, tmp_path):
+    old = spark.createDataFrame([(1, "a", "s"), (2, "b", "s")], "doc_id long, title string, summary string")
+    new = spark.createDataFrame([(2, "c"), (3, "d"), (None, "e")], "doc_id long, title string")
+    assert {tuple(r) for r in ingest.merged_records(old, new).collect()} == {(1, "a", "s"), (2, "c", None), (3, "d", None)}
+    values = spark.createDataFrame([(1, "z", 1), (1, "y", 2), (2, None, 3)], "doc_id long, summary string, at int")
+    assert {(r.doc_id, r.summary) for r in ingest.upserted(old, values, "summary", "at").collect()} == {(1, "y"), (2, "s")}
+    (tmp_path / "words.txt").write_text("Bank 12\nriver\n\nnew york 3\n")
+    assert {tuple(r) for r in files.load_words(spark, str(tmp_path / "words.txt")).collect()} == {("bank", 12), ("river", 1), ("new york", 3)}
+    rows = spark.createDataFrame([(i, "bbc" if i % 2 else "ind", f"t{i}", f" l1\nl2 \"q\" {i} ", datetime.date(2024, 1, 1 + i % 3), i % 2) for i in range(9)], "doc_id long, source string, title string, content string, crawl_date date, frag_index int")
+    files.write_named_fragments(rows, str(tmp_path / "fragments"))
+    back = files.read_fragments(spark, str(tmp_path / "fragments")).select(rows.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    files.push_fragments(spark, str(tmp_path / "fragments"), str(tmp_path / "table"), [("bbc", "2024-01-02"), ("zzz", "2024-01-02")])
+    assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "table")).collect()) == [1, 7]
+    files.clear(spark, str(tmp_path / "table"))
+    files.clear(spark, str(tmp_path / "table"))
+    assert not (tmp_path / "table").exists()
+    model = expansion.train(spark.createDataFrame([("bank river bank water",)] * 5, "text string"), size=4)
+    expansion.saved(model, str(tmp_path / "model"))
+    assert expansion.loaded(str(tmp_path / "model")).getVectors().count() == model.getVectors().count()
+
+
+def test_synonyms_and_contexts(spark):
+    assert suggest.split_synonyms({"bank": ["banks", "lender"], "uk": ["united kingdom"]}) == ({"bank": ["lender"], "uk": ["united kingdom"]}, {"bank": ["banks"]})
+    assert suggest.flat_tokens([["a b", "c"], ["b"]]) == ["a", "b", "c"]
+
+
+def test_filtered_corpus_beyond_the_bound(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "the " * 50 + f"word{i % 7} rare{i}") for i in range(40)] + [(99, None)], "doc_id long, text string")
+    want = {tuple(r) for r in corpus.filtered_corpus(rows, corpus.vocabulary(rows), 3).collect()}
+    monkeypatch.setattr(corpus, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(corpus, "HOT_SHARE", 0.5)
+    assert {tuple(r) for r in corpus.filtered_corpus(rows, corpus.vocabulary(rows), 3).collect()} == want
+
+
 def test_stream(spark, tmp_path):
     schema = "doc_id long, url string, title string, date string, content string, source string"
     rows = [(i, f"https://www.s.example/news/x/{i % 4}", f"title {i}", "2024", "bank rates", "s") for i in range(6)]
