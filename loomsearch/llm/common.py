@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
 from ..shipping import ship
 
 #: Rows up to which a lookup side may be broadcast or held as a dictionary; it is
@@ -22,16 +22,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (single-machine tests) a temporary folder is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="loomsearch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    """The folder that all executors share, from ``spark.checkpoint.dir``."""
+    return shared_folder(spark)
 
 
 def materialise(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> DataFrame:
@@ -45,6 +37,19 @@ def materialise(df: DataFrame, name: str, *, partition_by: list[str] | None = No
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_of(df: DataFrame, by: str, rows: int = BROADCAST_ROWS) -> list[tuple[DataFrame, Column]]:
+    """``df`` in parts of about ``rows`` rows at most, each with the condition on ``by`` that chooses the rows of another table it belongs to.
+
+    For sides that are broadcast: beyond the bound the other table is read once a part, and no key of it is shuffled.
+    ``df`` is materialised, and no value of ``by`` holds more than a small share of it.
+    """
+    n = max(1, -(-df.count() // rows))
+    if n == 1:
+        return [(df, F.lit(True))]
+    part = F.pmod(F.xxhash64(by), F.lit(n))
+    return [(df.where(part == k), part == k) for k in range(n)]
+
+
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to be at most ``rows`` rows, else unchanged.
 

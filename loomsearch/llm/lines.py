@@ -12,7 +12,7 @@ article count of a line.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_broadcast, chosen, materialise
+from .common import bounded_broadcast, chosen, materialise, parts_of
 
 MIN_ARTICLES = 5
 MIN_SHARE = 0.02
@@ -132,65 +132,76 @@ def repeated_lines(keys: DataFrame, min_articles: int = MIN_ARTICLES, min_share:
     needs = bounded_broadcast(needed)
     candidates = added.where("key != 0").join(needs, "source").where("n + error >= needed").select("source", "key")
     candidates = materialise(candidates, "line-candidates")
-    exact = (
-        keys.select("source", "doc_id", F.explode(F.array_distinct("keys")).alias("key"))
-        .join(bounded_broadcast(candidates), ["source", "key"])
-        .groupBy("source", "key")
-        .agg(F.count(F.lit(1)).alias("n_occurrences"), F.count_distinct("doc_id").alias("n_articles"))
-    )
+    exact = None
+    for part, mine in parts_of(candidates, "source"):
+        each = keys.where(mine).select("source", "doc_id", F.explode(F.array_distinct("keys")).alias("key")).join(F.broadcast(part), ["source", "key"])
+        one = each.groupBy("source", "key").agg(F.count_distinct("doc_id").alias("n_articles"))
+        exact = one if exact is None else exact.unionByName(one)
     return exact.join(needs, "source").where("n_articles >= needed").select("source", "key", "n_articles")
 
 
 def occurrences(keys: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(doc_id, line_no): each occurrence of a repeated line, line_no from 1."""
-    each = keys.select("doc_id", "source", F.posexplode("keys").alias("at", "key")).where("key != 0")
-    return each.join(bounded_broadcast(repeated), ["source", "key"]).select("doc_id", (F.col("at") + 1).cast("int").alias("line_no"))
+    """(doc_id, line_no): each occurrence of a repeated line, line_no from 1; ``repeated`` is materialised."""
+    out = None
+    for part, mine in parts_of(repeated, "source"):
+        each = keys.where(mine).select("doc_id", "source", F.posexplode("keys").alias("at", "key")).where("key != 0")
+        one = each.join(F.broadcast(part.select("source", "key")), ["source", "key"]).select("doc_id", (F.col("at") + 1).cast("int").alias("line_no"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-def repeated_by_source(repeated: DataFrame, limit: int = BROADCAST_ROWS) -> dict[str, frozenset[int]] | None:
-    """The confirmed keys of each source as a dictionary, or None if they are more than ``limit``.
+Sets = dict[str, frozenset[int]]
 
-    A source holds at most (lines per article / min_share) confirmed lines, so the size follows the number of sources only.
+
+def over_own_lines(rows: DataFrame, repeated: DataFrame, mapper: Callable[[Sets], Callable], schema: str) -> DataFrame:
+    """``rows`` (with source) mapped in Arrow batches by ``mapper``, which is given the repeated lines of each source as sets.
+
+    The sets are broadcast, ``BROADCAST_ROWS`` lines at most; more sources are taken in parts. A source holds at most
+    (lines per article / min_share) repeated lines. ``repeated`` is materialised.
     """
-    rows = repeated.select("source", "key").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    sets: dict[str, set[int]] = {}
-    for source, key in rows:
-        sets.setdefault(source, set()).add(key)
-    return {source: frozenset(keys) for source, keys in sets.items()}
+    context = rows.sparkSession.sparkContext
+    rows = rows.withColumn("source", F.coalesce("source", F.lit("")))
+    out = None
+    for part, mine in parts_of(repeated.select("source", "key"), "source"):
+        held: dict[str, set[int]] = {}
+        for source, key in part.collect():
+            held.setdefault(source, set()).add(key)
+        shared = context.broadcast({source: frozenset(keys) for source, keys in held.items()})
 
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            return mapper(shared.value)(batches)
 
-def with_site_keys(articles: DataFrame, repeated: DataFrame) -> tuple[DataFrame, dict[str, frozenset[int]] | None]:
-    """``articles`` and the dictionary of confirmed keys; beyond its bound the keys come as a column ``site_keys``."""
-    sets = repeated_by_source(repeated)
-    if sets is not None:
-        return articles.withColumn("site_keys", F.lit(None).cast("array<long>")), sets
-    per_source = repeated.groupBy("source").agg(F.collect_set("key").alias("site_keys"))
-    return articles.withColumn("source", F.coalesce("source", F.lit(""))).join(per_source, "source", "left"), None
+        one = rows.where(mine).mapInArrow(run, schema)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-def own_lines(content: str | None, source: str | None, keys: LineKeys, sets: dict[str, frozenset[int]] | None, column: list[int] | None) -> list[str]:
+def own_lines(content: str | None, source: str, keys: LineKeys, sets: Sets) -> list[str]:
     """The lines of a text that are not repeated lines of its source."""
     if not content:
         return []
-    known = sets.get(source or "", frozenset()) if sets is not None else frozenset(column or ())
+    known = sets.get(source)
+    if not known:
+        return content.split("\n")
     remembered = keys.known.get
     return [line for line in content.split("\n") if (remembered(line) or keys(line)) not in known]
 
 
 def without_repeated_lines(articles: DataFrame, repeated: DataFrame) -> DataFrame:
     """(doc_id, content, n_removed): every text less its source's repeated lines; null stays null."""
-    prepared, sets = with_site_keys(chosen(articles, ("doc_id", "source", "content")), repeated)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = LineKeys()
-        for batch in batches:
-            texts, removed = [], []
-            for text, source, column in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                lines = own_lines(text, source, keys, sets, column)
-                texts.append(None if text is None else "\n".join(lines))
-                removed.append(text.count("\n") + 1 - len(lines) if text else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=["doc_id", "content", "n_removed"])
-
-    return prepared.select("doc_id", "content", "source", "site_keys").mapInArrow(run, "doc_id long, content string, n_removed int")
+    def mapper(sets: Sets):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys = LineKeys()
+            for batch in batches:
+                texts, removed = [], []
+                for text, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    lines = own_lines(text, source, keys, sets)
+                    texts.append(None if text is None else "\n".join(lines))
+                    removed.append(text.count("\n") + 1 - len(lines) if text else 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=["doc_id", "content", "n_removed"])
+
+        return run
+
+    rows = chosen(articles, ("doc_id", "source", "content")).select("doc_id", "content", "source")
+    return over_own_lines(rows, repeated, mapper, "doc_id long, content string, n_removed int")

@@ -135,11 +135,16 @@ def selection(texts: DataFrame, planned: DataFrame, seed: int = 7) -> DataFrame:
     """
     rows = texts.count()
     buckets = max(16, rows // BUCKET_ROWS)
+    step = max(1, round(buckets**0.5))
     order = F.xxhash64("doc_id", F.lit(seed))
     placed = texts.withColumn("at", order).withColumn("bucket", F.pmod("at", F.lit(buckets)))
-    sums = materialise(placed.groupBy("pattern", "bucket").agg(F.sum("tokens").alias("bucket_tokens")), "bucket-sums")
-    before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_tokens").over(before), F.lit(0))).drop("bucket_tokens")
+    sums = materialise(placed.groupBy("pattern", "bucket").agg(F.sum("tokens").alias("bucket_tokens")).withColumn("row", F.expr(f"bucket div {step}")), "bucket-sums")
+    # buckets stand in rows of buckets, so that not even those of a whole pattern are ordered by one task
+    before_row = Window.partitionBy("pattern").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    row_starts = sums.groupBy("pattern", "row").agg(F.sum("bucket_tokens").alias("row_tokens")).withColumn("row_start", F.coalesce(F.sum("row_tokens").over(before_row), F.lit(0))).drop("row_tokens")
+    before = Window.partitionBy("pattern", "row").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("in_row", F.coalesce(F.sum("bucket_tokens").over(before), F.lit(0))).join(row_starts, ["pattern", "row"])
+    starts = starts.select("pattern", "bucket", (F.col("row_start") + F.col("in_row")).alias("bucket_start"))
     inside = Window.partitionBy("pattern", "bucket").orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     lined = placed.withColumn("within", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(bounded_broadcast(starts), ["pattern", "bucket"])
     x = F.col("bucket_start") + F.col("within")

@@ -111,7 +111,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_top_terms(spark: SparkSession, d: str) -> DataFrame:
     """The five most distinctive terms of every article."""
     best = distinctive.best_terms(distinctive.record_text(read(spark, d, "articles")), 5)
-    return best.select("doc_id", "rank", "term", "tf", "cf", F.round("score", 6).alias("score"))
+    return best.select("doc_id", "rank", "term", "tf", "cf", F.round("score", 4).alias("score"))
 
 
 def _sizes(spark: SparkSession, d: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -142,7 +142,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    documents = read(spark, d, "documents").withColumn("text_key", F.xxhash64("text"))
+    documents = read(spark, d, "documents").withColumn("text_key", F.md5(F.coalesce("text", F.lit(""))))
     sizes = materialise(tokens.token_counts(documents, ("source", "text_key")), "mix-sizes")
     targets = mixing.clean_targets(read(spark, d, "mix_targets"))
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
@@ -223,6 +223,14 @@ heavy AS (SELECT source, key FROM normal WHERE key <> '' GROUP BY source, key HA
 , confirmed AS (SELECT h.source, h.key FROM heavy h JOIN totals t USING (source) JOIN (SELECT source, key, count(DISTINCT doc_id) AS d FROM normal GROUP BY 1, 2) c USING (source, key) WHERE c.d >= 0.02 * t.n)
 """
 
+_SCORES = r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(title, '') || chr(10) || coalesce(content, '')), '[\p{L}\p{N}_]+')) AS term FROM articles),
+tf AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM words WHERE doc_id IN (SELECT doc_id FROM term_probes) GROUP BY doc_id, term),
+len AS (SELECT doc_id, sum(tf) AS l FROM tf GROUP BY doc_id), cf AS (SELECT term, count(*)::DOUBLE AS cf FROM words GROUP BY term), total AS (SELECT count(*)::DOUBLE AS n FROM words),
+cells AS (SELECT doc_id, term, tf, l, cf, n, unnest([tf, l - tf, cf - tf, n - l - cf + tf]) AS o, unnest([l * cf / n, l * (n - cf) / n, (n - l) * cf / n, (n - l) * (n - cf) / n]) AS e FROM tf JOIN len USING (doc_id) JOIN cf USING (term), total),
+score AS (SELECT doc_id, term, tf, cf, CASE WHEN tf * (n - l) >= (cf - tf) * l THEN 1 ELSE -1 END * 2 * sum(CASE WHEN o > 0 THEN o * ln(o / e) ELSE 0 END) AS score FROM cells GROUP BY doc_id, term, tf, l, cf, n)
+"""
+
 SQL: dict[str, str] = {
     "p3_found": _POSTING_COUNTS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p3_terms": _POSTING_COUNTS + "SELECT term, n_records, n_occurrences, mark FROM marked",
@@ -238,12 +246,8 @@ SELECT term, n_records, n_occurrences, CASE WHEN n_records <= 2 THEN 'rare' WHEN
 SELECT a.doc_id, CASE WHEN a.content IS NOT NULL THEN coalesce(kept.content, '') END AS content,
  CAST(CASE WHEN coalesce(a.content, '') = '' THEN 0 ELSE len(string_split(a.content, chr(10))) - coalesce(k, 0) END AS INTEGER) AS n_removed FROM articles a LEFT JOIN kept USING (doc_id)
 """,
-    "p6_found": r"""
-WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(title, '') || chr(10) || coalesce(content, '')), '[\p{L}\p{N}_]+')) AS term FROM articles),
-tf AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM words WHERE doc_id IN (SELECT doc_id FROM term_probes) GROUP BY doc_id, term),
-len AS (SELECT doc_id, sum(tf) AS l FROM tf GROUP BY doc_id), cf AS (SELECT term, count(*)::DOUBLE AS cf FROM words GROUP BY term), total AS (SELECT count(*)::DOUBLE AS n FROM words),
-cells AS (SELECT doc_id, term, tf, l, cf, n, unnest([tf, l - tf, cf - tf, n - l - cf + tf]) AS o, unnest([l * cf / n, l * (n - cf) / n, (n - l) * cf / n, (n - l) * (n - cf) / n]) AS e FROM tf JOIN len USING (doc_id) JOIN cf USING (term), total),
-score AS (SELECT doc_id, term, CASE WHEN tf * (n - l) >= (cf - tf) * l THEN 1 ELSE -1 END * 2 * sum(CASE WHEN o > 0 THEN o * ln(o / e) ELSE 0 END) AS score FROM cells GROUP BY doc_id, term, tf, l, cf, n)
-SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS k FROM score) WHERE k = 1
-""",
+    "p6_found": _SCORES + "SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS k FROM score) WHERE k = 1",
+    "p6_top_terms": _SCORES.replace("WHERE doc_id IN (SELECT doc_id FROM term_probes) ", "")
+    + "SELECT doc_id, CAST(k AS INTEGER) AS rank, term, CAST(tf AS BIGINT) AS tf, CAST(cf AS BIGINT) AS cf, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, term) AS k FROM score) WHERE k <= 5",
+
 }

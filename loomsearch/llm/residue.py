@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast
-from .lines import LineKeys, own_lines, with_site_keys
+from .lines import LineKeys, Sets, over_own_lines, own_lines
 from .quality import COMMON_WORDS
 
 #: Share of the own text's words (by letters) that matched wording must cover.
@@ -395,16 +395,18 @@ def residue_flags(articles: DataFrame, sites: DataFrame, repeated: DataFrame, mi
     ``sites`` (source, site_name) is a small fixed table; ``repeated`` are the lines that its source repeats (problem 2).
     """
     names = sites.groupBy("source").agg(F.min("site_name").alias("site_name"))
-    prepared, sets = with_site_keys(articles.select("doc_id", "title", "content", "source"), repeated)
-    rows = prepared.join(bounded_broadcast(names), "source", "left").select("doc_id", "title", "content", "source", "site_name", "site_keys")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        markup, hits, keys = markup_automaton(), wording_automaton(), LineKeys()
-        for batch in batches:
-            judged = []
-            for title, content, source, name, column in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
-                own = "\n".join(own_lines(content, source, keys, sets, column))
-                judged.append(judge(title, own, content, name, markup, hits, min_coverage))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in judged], pa.string()), pa.array([c for _, c in judged], pa.float64())], names=["doc_id", "kind", "coverage"])
-
-    return rows.mapInArrow(run, "doc_id long, kind string, coverage double")
+    rows = articles.select("doc_id", "title", "content", "source").join(bounded_broadcast(names), "source", "left").select("doc_id", "title", "content", "source", "site_name")
+
+    def mapper(sets: Sets):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            markup, hits, keys = markup_automaton(), wording_automaton(), LineKeys()
+            for batch in batches:
+                judged = []
+                for title, content, source, name in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                    own = "\n".join(own_lines(content, source, keys, sets))
+                    judged.append(judge(title, own, content, name, markup, hits, min_coverage))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in judged], pa.string()), pa.array([c for _, c in judged], pa.float64())], names=["doc_id", "kind", "coverage"])
+
+        return run
+
+    return over_own_lines(rows, repeated, mapper, "doc_id long, kind string, coverage double")

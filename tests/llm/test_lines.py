@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from loomsearch.llm import lines
+from loomsearch.llm import common, lines
 from loomsearch.llm.common import materialise
 
 SCHEMA = "doc_id long, source string, content string, text string"
@@ -60,11 +60,26 @@ def test_cleaning_keeps_the_rest(spark):
     assert clean[900].content is None and clean[900].n_removed == 0
     assert clean[903].content == "" and clean[903].n_removed == 2
     assert all("Share" not in (r.content or "") for r in clean.values())
-    # the way without a dictionary gives the same
-    wide, sets = lines.with_site_keys(frame, repeated)
-    assert sets is not None
-    lines_of = lines.repeated_by_source(repeated, limit=0)
-    assert lines_of is None
+
+
+def test_more_lines_than_are_broadcast_at_once(spark, monkeypatch):
+    # sources are taken in parts, and give the same
+    rows = rows_of()
+    frame = spark.createDataFrame(rows, SCHEMA)
+    keys = materialise(lines.line_keys(frame), "k")
+    clean = lambda repeated: {(r.doc_id, r.content, r.n_removed) for r in lines.without_repeated_lines(frame, repeated).collect()}
+    want = clean(materialise(lines.repeated_lines(keys), "r"))
+    sizes = []
+
+    def parts_of(df, by):
+        parts = common.parts_of(df, by, 1)
+        sizes.append(len(parts))
+        return parts
+
+    monkeypatch.setattr(lines, "parts_of", parts_of)
+    repeated = materialise(lines.repeated_lines(keys), "r")
+    assert {tuple(r) for r in lines.occurrences(keys, repeated).collect()} == brute_found(rows)
+    assert clean(repeated) == want and max(sizes) > 1
 
 
 def test_empty_table(spark):

@@ -1,5 +1,6 @@
 """Cut texts, packing, mixing and quality."""
 
+import itertools
 import random
 
 import pytest
@@ -136,6 +137,38 @@ def test_mixing(spark):
     assert mixing.selection(none, mixing.plan_frame(none, targets, 0)).count() == 0
 
 
+def test_mixing_in_rows_of_buckets(spark, monkeypatch):
+    # many buckets: the texts picked follow the flow to the token, as in one line
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 5)
+    rows = [(i, "a" if i % 3 else "b", 5 + i % 11, str(i)) for i in range(600)]
+    documents = materialise(spark.createDataFrame(rows, "doc_id long, source string, tokens long, text_key string"), "d")
+    targets = mixing.clean_targets(spark.createDataFrame([("a", 0.4, 2), ("b", 0.6, 3)], "source string, target_share double, max_repeats int"))
+    total = sum(r[2] for r in rows)
+    texts = materialise(mixing.texts_by_pattern(documents, targets), "t")
+    planned = mixing.plan_frame(texts, targets, total)
+    shares = {r.source: r.share for r in mixing.reached_shares(mixing.selection(texts, planned), targets, total).collect()}
+    assert abs(shares["a"] - 0.4) < 0.01 and abs(shares["b"] - 0.6) < 0.01
+    assert all(r.uses <= (2 if r.source == "a" else 3) for r in mixing.selection(texts, planned).collect())
+
+
+def test_flow_equals_brute_force():
+    # all integer flows of small networks are tried
+    rng = random.Random(3)
+    for _ in range(25):
+        arcs = [(0, 2, rng.randrange(3), 0), (0, 2, rng.randrange(3), 1), (0, 3, rng.randrange(3), rng.randrange(3)), (2, 4, 2, 0), (2, 5, rng.randrange(3), 1), (3, 5, 2, 0), (4, 1, rng.randrange(3), 0), (5, 1, rng.randrange(4), 0)]
+        best = None
+        for flow in itertools.product(*[range(c + 1) for _, _, c, _ in arcs]):
+            net = [0] * 6
+            for (a, b, _, _), f in zip(arcs, flow, strict=True):
+                net[a] -= f
+                net[b] += f
+            if all(net[n] == 0 for n in range(2, 6)):
+                value = (net[1], -sum(f * p for (_, _, _, p), f in zip(arcs, flow, strict=True)))
+                best = value if best is None else max(best, value)
+        got = mixing.min_cost_flow(6, arcs, 0, 1)
+        assert (got[6] + got[7], -sum(f * p for (_, _, _, p), f in zip(arcs, got, strict=True))) == best
+
+
 def test_mixing_shared_texts(spark):
     rows = [(1, "a", 10, 1), (2, "b", 10, 1), (3, "b", 10, 3)]
     documents = spark.createDataFrame(rows, "doc_id long, source string, tokens long, text_key long")
