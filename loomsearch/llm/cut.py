@@ -38,18 +38,36 @@ _MISSING_REST = (
 )
 
 
+#: A word (Latin letters first, which most are), a number, a line break or a mark.
+_TOKEN = r"[a-zA-Z\x{c0}-\x{24f}\p{L}\p{M}]+(?:'\p{L}+)*|\p{N}+(?:[.,:]\p{N}+)*|\n|[^\s\p{L}\p{M}\p{N}]"
+
+
+def tokens_of(text: Column) -> Column:
+    """The text's tokens, after two line breaks that stand for its beginning."""
+    return F.regexp_extract_all(F.concat(F.lit("\n\n"), F.trim(F.translate(text, "“”„«»’", "\"\"\"\"\"'"))), F.lit(_TOKEN), F.lit(0))
+
+
+def _is_number(token: Column) -> Column:
+    return F.substring(token, 1, 1).between("0", "9")
+
+
+def class_of(token: Column) -> Column:
+    """The class of a token, or the token itself."""
+    first = F.substring(token, 1, 1)
+    return F.when(first.between("a", "z") & (F.length(token) < 6), token).when(_is_number(token), F.lit("9")).when(F.lower(first) != first, F.lit("X")).when(F.length(token) >= 6, F.lit("xx")).otherwise(token)
+
+
+def word_of(token: Column) -> Column:
+    """A token in lower case, numbers as one."""
+    return F.when(_is_number(token), F.lit("9")).otherwise(F.lower(token))
+
+
 def token_classes(text: Column) -> Column:
-    """The text's tokens as classes, after two line breaks that stand for its beginning."""
-    short = F.regexp_replace(F.translate(text, "“”„«»’", "\"\"\"\"\"'"), r"\p{Lu}[\p{L}\p{M}']*", "X")
-    short = F.regexp_replace(short, r"(?<![\p{L}\p{M}])[\p{Ll}\p{M}]{6,}", "xx")
-    short = F.regexp_replace(short, r"\p{N}+(?:[.,:]\p{N}+)*", "9")
-    return F.regexp_extract_all(F.concat(F.lit("\n\n"), F.trim(short)), F.lit(r"[\p{L}\p{M}]+(?:'\p{L}+)*|9|\n|[^\s\p{L}\p{M}]"), F.lit(0))
+    return F.transform(tokens_of(text), class_of)
 
 
 def words_of(text: Column) -> Column:
-    """The text's tokens in lower case, numbers as one, after two line breaks that stand for its beginning."""
-    plain = F.regexp_replace(F.lower(F.translate(text, "“”„«»’", "\"\"\"\"\"'")), r"\p{N}+(?:[.,:]\p{N}+)*", "9")
-    return F.regexp_extract_all(F.concat(F.lit("\n\n"), F.trim(plain)), F.lit(r"[\p{L}\p{M}]+(?:'\p{L}+)*|9|\n|[^\s\p{L}\p{M}]"), F.lit(0))
+    return F.transform(tokens_of(text), word_of)
 
 
 def _trigrams(tokens: Column, texts: DataFrame) -> DataFrame:
@@ -100,10 +118,10 @@ def cut_texts(texts: DataFrame, min_seen: int = MIN_SEEN, max_terminal_share: fl
     # the last three tokens stand in the last line, or in the lines before, if it has fewer
     last_line = F.substring_index("text", "\n", -1)
     tail = F.when(F.regexp_like(last_line, F.lit(r"\S\s+\S+\s+\S+\s+\S")), F.concat(F.lit("\n"), last_line)).otherwise(F.substring_index("text", "\n", -4))
-    ends_of = own.select("doc_id", marked.alias("marked"), F.slice(token_classes(tail), -3, 3).alias("t"), F.slice(words_of(tail), -3, 3).alias("w"))
-    parts = [F.col(column)[i].alias(name) for column, names in (("t", "abc"), ("w", ("wa", "wb", "wc"))) for i, name in enumerate(names)]
+    ends_of = own.select("doc_id", marked.alias("marked"), F.slice(tokens_of(tail), -3, 3).alias("t"))
+    parts = [of(F.col("t")[i]).alias(name) for of, names in ((class_of, "abc"), (word_of, ("wa", "wb", "wc"))) for i, name in enumerate(names)]
     lower = F.regexp_like("c", F.lit(r"^[\p{Ll}\p{M}']+$"))
-    last = materialise(ends_of.select("doc_id", "marked", *parts).dropDuplicates(["doc_id"]), "final-tokens")
+    last = materialise(ends_of.select("doc_id", "marked", *parts).distinct(), "final-tokens")
     word_shares = materialise(_word_shares(own, last, min_seen, max_terminal_share), "word-shares")
     # texts that end in a mark are known to be cut; their ends are no evidence of what ends a text
     plain = last.where("not marked")

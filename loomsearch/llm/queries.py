@@ -18,9 +18,8 @@ def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return keys, materialise(repeated_lines(keys), "repeated-lines")
 
 
-def _residue(spark: SparkSession, d: str, repeated: DataFrame | None = None) -> DataFrame:
-    repeated = _lines(spark, d)[1] if repeated is None else repeated
-    return residue_flags(read(spark, d, "articles"), read(spark, d, "news_sites"), repeated)
+def _residue(spark: SparkSession, d: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return residue_flags(read(spark, d, "articles"), read(spark, d, "news_sites"), _lines(spark, d)[1], keep=keep)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,15 +67,14 @@ def p3_words(spark: SparkSession, d: str) -> DataFrame:
     return _marked(frequencies.word_partials(articles.select(F.col("content").alias("text"))).groupBy("term").agg(F.sum("n_records").alias("n_records"), F.sum("n_occurrences").alias("n_occurrences")), n)
 
 
-def _news(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The articles that are no p1 cases, and the repeated lines of all articles."""
-    repeated = _lines(spark, d)[1]
-    flags = materialise(_residue(spark, d, repeated).where("kind != ''").select("doc_id").distinct(), "residue-ids")
-    return read(spark, d, "articles").join(bounded_broadcast(flags), "doc_id", "left_anti"), repeated
+def _news(spark: SparkSession, d: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, own, ...): the articles that are no p1 cases, with their content less its source's repeated lines."""
+    flagged = residue_flags(read(spark, d, "articles"), read(spark, d, "news_sites"), _lines(spark, d)[1], keep=keep, own=True)
+    return flagged.where("kind = ''").drop("kind", "coverage")
 
 
 def _repeats(spark: SparkSession, d: str) -> DataFrame:
-    return history.repeated_articles(spark, history.prepared(*_news(spark, d)), read(spark, d, "articles").count())
+    return history.repeated_articles(spark, history.prepared(_news(spark, d, ("url", "batch_no"))), read(spark, d, "articles").count())
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,11 +84,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_accepted(spark: SparkSession, d: str) -> DataFrame:
     """The articles that are kept: the history and the new ones that repeat nothing."""
     repeats = materialise(_repeats(spark, d), "repeats").select(F.col("doc_id_b").alias("doc_id"))
-    return _news(spark, d)[0].select("doc_id", "batch_no").join(bounded_broadcast(repeats), "doc_id", "left_anti")
+    return _residue(spark, d, keep=("batch_no",)).where("kind = ''").select("doc_id", "batch_no").join(bounded_broadcast(repeats), "doc_id", "left_anti")
 
 
 def _cuts(spark: SparkSession, d: str) -> DataFrame:
-    own = without_repeated_lines(*_news(spark, d)).select("doc_id", F.col("content").alias("text"))
+    own = _news(spark, d).select("doc_id", F.col("own").alias("text"))
     return cut.cut_texts(materialise(own, "own-texts"))
 
 

@@ -389,24 +389,29 @@ def judge(title: str | None, own: str | None, content: str | None, site_name: st
     return (kind, share) if share >= min_coverage else ("", share)
 
 
-def residue_flags(articles: DataFrame, sites: DataFrame, repeated: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+def residue_flags(articles: DataFrame, sites: DataFrame, repeated: DataFrame, min_coverage: float = MIN_COVERAGE, keep: tuple[str, ...] = (), own: bool = False) -> DataFrame:
     """(doc_id, kind, coverage) of every article; kind is ``''`` where the article is no case.
 
     ``sites`` (source, site_name) is a small fixed table; ``repeated`` are the lines that its source repeats (problem 2).
+    Columns named in ``keep`` are handed on, and with ``own`` the content without repeated lines, empty for null.
     """
     names = sites.groupBy("source").agg(F.min("site_name").alias("site_name"))
-    rows = articles.select("doc_id", "title", "content", "source").join(bounded_broadcast(names), "source", "left").select("doc_id", "title", "content", "source", "site_name")
+    rows = articles.select("doc_id", "title", "content", "source", *keep).join(bounded_broadcast(names), "source", "left").select("doc_id", "title", "content", "source", "site_name", *keep)
+    kinds = dict(rows.dtypes)
+    schema = "doc_id long, kind string, coverage double" + "".join(f", {c} {kinds[c]}" for c in keep) + ", own string" * own
 
     def mapper(sets: Sets):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             markup, hits, keys = markup_automaton(), wording_automaton(), LineKeys()
             for batch in batches:
-                judged = []
+                judged, texts = [], []
                 for title, content, source, name in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                    own = "\n".join(own_lines(content, source, keys, sets))
-                    judged.append(judge(title, own, content, name, markup, hits, min_coverage))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in judged], pa.string()), pa.array([c for _, c in judged], pa.float64())], names=["doc_id", "kind", "coverage"])
+                    text = "\n".join(own_lines(content, source, keys, sets))
+                    judged.append(judge(title, text, content, name, markup, hits, min_coverage))
+                    texts.append(text)
+                columns = [batch.column(0), pa.array([k for k, _ in judged], pa.string()), pa.array([c for _, c in judged], pa.float64()), *(batch.column(5 + i) for i in range(len(keep)))]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(texts, pa.string())] if own else [])], names=["doc_id", "kind", "coverage", *keep, *["own"] * own])
 
         return run
 
-    return over_own_lines(rows, repeated, mapper, "doc_id long, kind string, coverage double")
+    return over_own_lines(rows, repeated, mapper, schema)
