@@ -38,8 +38,9 @@ _MISSING_REST = (
 )
 
 
-#: A word (Latin letters first, which most are), a number, a line break or a mark.
-_TOKEN = r"[a-zA-Z\x{c0}-\x{24f}\p{L}\p{M}]+(?:'\p{L}+)*|\p{N}+(?:[.,:]\p{N}+)*|\n|[^\s\p{L}\p{M}\p{N}]"
+#: A word, a number, a line break or a mark. Words that begin with Latin letters, which most do, are tried first.
+_LATIN = r"a-zA-Z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}"
+_TOKEN = rf"[{_LATIN}]++[\p{{L}}\p{{M}}]*+(?:'\p{{L}}++)*+|[\p{{L}}\p{{M}}]++(?:'\p{{L}}++)*+|\p{{N}}++(?:[.,:]\p{{N}}++)*+|\n|[^\s\p{{L}}\p{{M}}\p{{N}}]"
 
 
 def tokens_of(text: Column) -> Column:
@@ -57,19 +58,10 @@ def class_of(token: Column) -> Column:
     return F.when(first.between("a", "z") & (F.length(token) < 6), token).when(_is_number(token), F.lit("9")).when(F.lower(first) != first, F.lit("X")).when(F.length(token) >= 6, F.lit("xx")).otherwise(token)
 
 
-def word_of(token: Column) -> Column:
-    """A token in lower case, numbers as one."""
-    return F.when(_is_number(token), F.lit("9")).otherwise(F.lower(token))
-
-
 def token_classes(text: Column) -> Column:
     return F.transform(tokens_of(text), class_of)
 
 
-def words_of(text: Column) -> Column:
-    return F.transform(tokens_of(text), word_of)
-
-
 def _trigrams(tokens: Column, texts: DataFrame) -> DataFrame:
     """(a, b, c): each trigram of each text."""
     n = F.greatest(F.size("t") - 2, F.lit(0))
@@ -83,7 +75,7 @@ def _word_shares(own: DataFrame, ends: DataFrame, min_seen: int, max_terminal_sh
     Only the trigrams that end a text are counted; they are combined before they are shuffled.
     """
     ended = materialise(ends.where("not marked").groupBy("wa", "wb", "wc").agg(F.count(F.lit(1)).alias("ended")), "final-words")
-    inside = _trigrams(words_of(F.col("text")), own).toDF("wa", "wb", "wc")
+    inside = _trigrams(tokens_of(F.col("text")), own).toDF("wa", "wb", "wc")
     asked = ended.where(~F.col("wc").isin(*_STOPS))
     counted = inside.join(bounded_broadcast(asked.select("wa", "wb", "wc")), ["wa", "wb", "wc"], "left_semi") if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else inside
     seen = counted.groupBy("wa", "wb", "wc").agg(F.count(F.lit(1)).alias("seen"))
@@ -119,7 +111,7 @@ def cut_texts(texts: DataFrame, min_seen: int = MIN_SEEN, max_terminal_share: fl
     last_line = F.substring_index("text", "\n", -1)
     tail = F.when(F.regexp_like(last_line, F.lit(r"\S\s+\S+\s+\S+\s+\S")), F.concat(F.lit("\n"), last_line)).otherwise(F.substring_index("text", "\n", -4))
     ends_of = own.select("doc_id", marked.alias("marked"), F.slice(tokens_of(tail), -3, 3).alias("t"))
-    parts = [of(F.col("t")[i]).alias(name) for of, names in ((class_of, "abc"), (word_of, ("wa", "wb", "wc"))) for i, name in enumerate(names)]
+    parts = [of(F.col("t")[i]).alias(name) for of, names in ((class_of, "abc"), (lambda token: token, ("wa", "wb", "wc"))) for i, name in enumerate(names)]
     lower = F.regexp_like("c", F.lit(r"^[\p{Ll}\p{M}']+$"))
     last = materialise(ends_of.select("doc_id", "marked", *parts).distinct(), "final-tokens")
     word_shares = materialise(_word_shares(own, last, min_seen, max_terminal_share), "word-shares")

@@ -211,8 +211,9 @@ _SENTENCE = re.compile(r".+?(?:[.!?…]+[)\]”\"']*(?=\s|$)|$)")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 #: Numbers with what belongs to them, paths, hosts and addresses: neither wording nor text.
 _NEUTRAL = re.compile(r"\d|\w[/\\]|[/\\]\w|\S@\S|\w\.\w")
-_WORDS = re.compile(r"[^\W\d_]+")
-_MARKS = {i: " " for i in range(128) if not chr(i).isalpha()}
+#: What parts words, for the rough cut: ASCII characters that are no letters, and the frequent wide ones.
+_MARKS = bytes(i if i > 127 or chr(i).isalpha() else 32 for i in range(256))
+_WIDE_MARKS = "“”„«»‘’…–—\xa0"
 _CODE = re.compile(r"(?<![\d.,])[45]\d\d(?![\d,]|\.\d)")
 _EXCEPTION = re.compile(r"\b\w*(?:Error|Exception)\b:?")
 # Lines of program traces.
@@ -234,6 +235,10 @@ PHRASES = _phrases()
 _VOCABULARY_WORDS = (frozenset(w for p in PHRASES for w in _TOKEN.findall(p)) - COMMON_WORDS) | LATIN_FILLER | KEYBOARD_FILLER
 
 
+_VOCABULARY_BYTES = frozenset(part.encode() for w in _VOCABULARY_WORDS for part in re.split("['’]", w)) - frozenset(w.encode() for w in COMMON_WORDS)
+_COMMON_BYTES = frozenset(w.encode() for w in COMMON_WORDS)
+
+
 def markup_automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for opener in MARKUP:
@@ -351,26 +356,30 @@ def coverage(text: str, site_name: str | None, hits: ahocorasick.Automaton) -> t
     return (matched / total if total else 1.0), max(sure, key=sure.get)
 
 
+def _share_of(words: list, vocabulary: frozenset, common: frozenset) -> tuple[int, int, bool]:
+    """(letters of vocabulary words, letters of words that tell something, whether few words are said over and over)."""
+    letters = sum(map(len, words))
+    known = sum(map(len, filter(vocabulary.__contains__, words)))
+    neutral = sum(map(len, filter(common.__contains__, words)))
+    return known, letters - neutral, len(words) >= 8 and sum(map(len, set(words))) <= 0.65 * letters
+
+
 def may_be_case(text: str, min_coverage: float) -> bool:
     """False where the words of the vocabulary, all counted, can't reach the coverage.
 
-    First with the words of addresses and names as text, where a text would need four fifths of these to be wrongly left
-    out; the few that pass are counted without addresses, and with less than the coverage for the site's names.
+    First with words cut out roughly, in bytes, and the words of addresses and names as text: a text would need four fifths
+    of these to be wrongly left out. The few that pass are counted without addresses, and with less than the coverage for
+    the site's names.
     """
-    text = text.lower().replace("’", "'")
-    for share in (0.2, 0.6):
-        # the first time words are cut out roughly, which the low share allows for
-        words = _TOKEN.findall(text) if share > 0.2 else text.translate(_MARKS).split() if text.isascii() else _WORDS.findall(text)
-        letters = sum(map(len, words))
-        known = sum(map(len, filter(_VOCABULARY_WORDS.__contains__, words)))
-        neutral = sum(map(len, filter(COMMON_WORDS.__contains__, words)))
-        # or words said over and over
-        over = len(words) >= 8 and sum(map(len, set(words))) <= 0.65 * letters
-        if known < share * min_coverage * (letters - neutral) and not over:
-            return False
-        if share < 0.6:
-            text = _without_neutral(text)
-    return True
+    text = text.lower()
+    rough = text
+    for mark in _WIDE_MARKS:
+        rough = rough.replace(mark, " ")
+    known, telling, over = _share_of(rough.encode("utf-8", "replace").translate(_MARKS).split(), _VOCABULARY_BYTES, _COMMON_BYTES)
+    if known < 0.2 * min_coverage * telling and not over:
+        return False
+    known, telling, over = _share_of(_TOKEN.findall(_without_neutral(text.replace("’", "'"))), _VOCABULARY_WORDS, COMMON_WORDS)
+    return known >= 0.6 * min_coverage * telling or over
 
 
 def judge(title: str | None, own: str | None, content: str | None, site_name: str | None, markup: ahocorasick.Automaton, hits: ahocorasick.Automaton, min_coverage: float = MIN_COVERAGE) -> tuple[str, float]:
