@@ -150,6 +150,20 @@ def _is_number(token: str) -> bool:
     return _NUMBER_TOKEN.match(token) is not None
 
 
+_ASCII = bytes(range(128))
+_ASCII_LETTERS = bytes(i for i in range(128) if chr(i).isalpha())
+_ASCII_DIGITS = b"0123456789"
+
+
+def _letters_and_digits(body: str) -> tuple[int, int]:
+    """How many letters and digits a text has; character by character only beyond ASCII."""
+    coded = body.encode("utf-8", "surrogatepass")
+    letters = len(coded) - len(coded.translate(None, _ASCII_LETTERS))
+    digits = len(coded) - len(coded.translate(None, _ASCII_DIGITS))
+    wide = coded.translate(None, _ASCII).decode("utf-8", "surrogatepass")
+    return letters + sum(map(str.isalpha, wide)), digits + sum(map(str.isdigit, wide))
+
+
 def figures(text: str | None) -> dict[str, float]:
     """The figures of one text's body."""
     body = body_of(text)
@@ -161,15 +175,14 @@ def figures(text: str | None) -> dict[str, float]:
     dense = sum(map(len, tokens))
     plain = sum(map(_is_plain, tokens))
     numbers = sum(map(_is_number, tokens)) if plain < len(tokens) else 0
-    letters = sum(map(str.isalpha, body))
-    digits = sum(map(str.isdigit, body))
+    letters, digits = _letters_and_digits(body)
     words: list[str] = []
     common = prose = ended = bullets = continued = 0
     elisions = "'" in body or "’" in body
     dense_script = sum(map(len, _DENSE_SCRIPT.findall(body))) if letters and letters > 5 * len(tokens) and not body.isascii() else 0
     by_character = dense_script >= 0.5 * letters > 0
     for line in lines:
-        mine = [w.lower() for w in _WORD.findall(line)]
+        mine = _WORD.findall(line.lower())
         words += mine
         held = sum(map(COMMON_WORDS.__contains__, mine)) + (_elided(mine) if elisions else 0)
         common += held
@@ -181,11 +194,12 @@ def figures(text: str | None) -> dict[str, float]:
         # a line of a sentence is held together by common words, and is no item unless it ends as a sentence
         if len(mine) >= 2 and held >= 0.25 * len(mine) and (end or not bullet):
             prose += len(line)
+    lengths = Counter(map(len, words))
     out.update(
         n_chars=len(body),
         n_words=len(words),
         n_lines=len(lines),
-        mean_word_length=sum(map(len, words)) / len(words) if words else 0.0,
+        mean_word_length=sum(n * k for n, k in lengths.items()) / len(words) if words else 0.0,
         symbol_ratio=(dense - letters - digits) / dense,
         digit_ratio=digits / dense,
         plain_token_share=plain / len(tokens),
@@ -203,7 +217,7 @@ def figures(text: str | None) -> dict[str, float]:
         separator_share=sum(body.count(c) for c in ",;|\t=") / len(tokens),
         n_tokens=len(tokens),
         continued_line_share=continued / len(lines),
-        short_word_share=sum(len(w) <= 3 for w in words) / len(words) if words else 0.0,
+        short_word_share=(lengths[1] + lengths[2] + lengths[3]) / len(words) if words else 0.0,
         capital_share=sum(map(str.istitle, tokens)) / len(tokens),
         dense_script_share=dense_script / letters if letters else 0.0,
         common_character_share=sum(map(COMMON_CHARACTERS.__contains__, body)) / dense_script if dense_script else 0.0,
