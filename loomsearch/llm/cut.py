@@ -69,20 +69,31 @@ def _trigrams(tokens: Column, texts: DataFrame) -> DataFrame:
     return texts.select(tokens.alias("t")).select(F.explode(zipped).alias("g")).select("g.a", "g.b", "g.c")
 
 
-def _word_shares(own: DataFrame, ends: DataFrame, min_seen: int, max_terminal_share: float) -> DataFrame:
-    """(wa, wb, wc, share): of the final trigrams of words that are seen often enough, in which share of their places they end a text.
+_WORDS = ("wa", "wb", "wc")
 
-    Only the trigrams that end a text are counted; they are combined before they are shuffled.
+
+def _counted(own: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((a, b, c, n), (id, n)): the trigrams of classes of all texts, and those of words that are asked for (wa, wb, wc, id).
+
+    Both are counted in one pass over the texts, and combined before they are shuffled, so that a frequent one is no hot key.
+    Only if more are asked for than are broadcast, the trigrams of words are all counted in a pass of their own.
     """
-    ended = materialise(ends.where("not marked").groupBy("wa", "wb", "wc").agg(F.count(F.lit(1)).alias("ended")), "final-words")
-    inside = _trigrams(tokens_of(F.col("text")), own).toDF("wa", "wb", "wc")
-    asked = ended.where(~F.col("wc").isin(*_STOPS))
-    counted = inside.join(bounded_broadcast(asked.select("wa", "wb", "wc")), ["wa", "wb", "wc"], "left_semi") if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else inside
-    seen = counted.groupBy("wa", "wb", "wc").agg(F.count(F.lit(1)).alias("seen"))
-    others, ended_others = F.col("seen") - 1, F.col("ended") - 1
+    count = F.count(F.lit(1)).alias("n")
+    if asked.count() > BROADCAST_ROWS:
+        words = _trigrams(tokens_of(F.col("text")), own).toDF(*_WORDS).groupBy(*_WORDS).agg(count)
+        return _trigrams(token_classes(F.col("text")), own).groupBy("a", "b", "c").agg(count), words.join(asked, list(_WORDS)).select("id", "n")
+    both = F.transform(tokens_of(F.col("text")), lambda token: F.struct(class_of(token).alias("k"), token.alias("w")))
+    each = _trigrams(both, own).select("a.k", "b.k", "c.k", "a.w", "b.w", "c.w").toDF("a", "b", "c", *_WORDS)
+    found = materialise(each.join(F.broadcast(asked), list(_WORDS), "left").groupBy("a", "b", "c", "id").agg(count), "all-trigrams")
+    return found.groupBy("a", "b", "c").agg(F.sum("n").alias("n")), found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def _word_shares(asked: DataFrame, seen: DataFrame, min_seen: int, max_terminal_share: float) -> DataFrame:
+    """(wa, wb, wc, word_share): of the final trigrams of words that tell, in which share of their places they end a text."""
+    others, ended_others = F.col("n") - 1, F.col("ended") - 1
     share = ended_others / others
     tells = (share <= max_terminal_share) | ((ended_others >= OFTEN_ENDED) & (share >= OFTEN_SHARE))
-    return asked.join(seen, ["wa", "wb", "wc"]).where((others >= min_seen) & tells).select("wa", "wb", "wc", share.alias("word_share"))
+    return asked.join(bounded_broadcast(materialise(seen, "seen-words")), "id").where((others >= min_seen) & tells).select(*_WORDS, share.alias("word_share"))
 
 
 def _gram(*words: Column | str) -> Column:
@@ -95,17 +106,11 @@ def cut_texts(texts: DataFrame, min_seen: int = MIN_SEEN, max_terminal_share: fl
     Trigrams are counted once over the whole texts, combined before they are shuffled, so a frequent one is no hot key;
     bigrams and words are added up from the trigrams. Only the last line of a text is read for its end.
     """
-    everything = texts.where(F.regexp_like("text", F.lit(r"\S"))).select("doc_id", F.regexp_replace("text", r"\s+$", "").alias("text")).withColumn("key", F.xxhash64("text"))
+    everything = texts.select("doc_id", F.rtrim("text", F.lit(" \t\n\x0b\f\r")).alias("text")).where("text != ''").withColumn("key", F.xxhash64("text"))
     keys = materialise(everything.select("doc_id", "key"), "text-keys")
     firsts = materialise(keys.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "first-texts")
     # from here on a text is known by its key; one row of each text is read
     own = everything.join(bounded_broadcast(firsts), ["doc_id", "key"], "left_semi").select(F.col("key").alias("doc_id"), "text")
-    trigrams = materialise(_trigrams(token_classes(F.col("text")), own).groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")), "trigrams")
-    seen = trigrams.select(_gram("a", "b", "c").alias("gram"), F.col("n").alias("seen"))
-    seen = seen.unionByName(trigrams.groupBy(_gram("b", "c").alias("gram")).agg(F.sum("n").alias("seen")))
-    words = trigrams.groupBy(F.col("c").alias("word")).agg(F.sum("n").alias("n"))
-    seen = seen.unionByName(words.select(F.col("word").alias("gram"), F.col("n").alias("seen")))
-
     marked = F.coalesce(F.regexp_like(F.substring("text", -200, 200), F.lit("(?i)" + _MISSING_REST)), F.lit(False))
     # the last three tokens stand in the last line, or in the lines before, if it has fewer
     last_line = F.substring_index("text", "\n", -1)
@@ -114,7 +119,15 @@ def cut_texts(texts: DataFrame, min_seen: int = MIN_SEEN, max_terminal_share: fl
     parts = [of(F.col("t")[i]).alias(name) for of, names in ((class_of, "abc"), (lambda token: token, ("wa", "wb", "wc"))) for i, name in enumerate(names)]
     lower = F.regexp_like("c", F.lit(r"^[\p{Ll}\p{M}']+$"))
     last = materialise(ends_of.select("doc_id", "marked", *parts).distinct(), "final-tokens")
-    word_shares = materialise(_word_shares(own, last, min_seen, max_terminal_share), "word-shares")
+    final_words = last.where(~F.col("marked")).groupBy(*_WORDS).agg(F.count(F.lit(1)).alias("ended")).where(~F.col("wc").isin(*_STOPS))
+    asked_words = materialise(final_words.withColumn("id", F.monotonically_increasing_id()), "final-words")
+    trigrams, seen_words = _counted(own, asked_words.select(*_WORDS, "id"))
+    trigrams = materialise(trigrams, "trigrams")
+    word_shares = materialise(_word_shares(asked_words, seen_words, min_seen, max_terminal_share), "word-shares")
+    seen = trigrams.select(_gram("a", "b", "c").alias("gram"), F.col("n").alias("seen"))
+    seen = seen.unionByName(trigrams.groupBy(_gram("b", "c").alias("gram")).agg(F.sum("n").alias("seen")))
+    words = trigrams.groupBy(F.col("c").alias("word")).agg(F.sum("n").alias("n"))
+    seen = seen.unionByName(words.select(F.col("word").alias("gram"), F.col("n").alias("seen")))
     # texts that end in a mark are known to be cut; their ends are no evidence of what ends a text
     plain = last.where("not marked")
     ended = plain.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"))

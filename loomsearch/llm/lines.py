@@ -46,22 +46,37 @@ def normal_line(line: str) -> str:
     return text[start:end]
 
 
+#: The last bits of a key are the length of the normalised line, up to this.
+_LENGTH_BITS = 12
+_LONGEST = (1 << _LENGTH_BITS) - 1
+_LETTERS = bytes(i for i in range(128) if chr(i).isalpha())
+
+
 class LineKeys:
-    """64-bit keys of normalised lines; 0 stands for a line with nothing left."""
+    """63-bit keys of normalised lines, 51 bits of a hash and 12 of the length; 0 stands for a line with nothing left."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
+        self._longest: dict[str, int] = {}
 
     def __call__(self, line: str) -> int:
         key = self.known.get(line)
         if key is None:
             text = normal_line(line)
-            key = (xxhash.xxh3_64_intdigest(text) >> 1) or 1 if text else 0
+            key = (xxhash.xxh3_64_intdigest(text) >> 1 + _LENGTH_BITS << _LENGTH_BITS) | min(len(text), _LONGEST) if text else 0
             if len(self.known) >= _CACHE_LINES:
                 self.known.clear()
             self.known[line] = key
         return key
 
+    def longest(self, source: str, known: frozenset[int]) -> int:
+        """The length of the longest of a source's repeated lines; that of lines beyond the length that keys tell is not bounded."""
+        length = self._longest.get(source)
+        if length is None:
+            length = max(key & _LONGEST for key in known)
+            length = self._longest[source] = length if length < _LONGEST else 1 << 62
+        return length
+
     def of(self, content: str | None) -> list[int]:
         return [self(line) for line in content.split("\n")] if content else []
 
@@ -183,8 +198,16 @@ def own_lines(content: str | None, source: str, keys: LineKeys, sets: Sets) -> l
     known = sets.get(source)
     if not known:
         return content.split("\n")
+    longest = keys.longest(source, known)
     remembered = keys.known.get
-    return [line for line in content.split("\n") if (remembered(line) or keys(line)) not in known]
+    out = []
+    for line in content.split("\n"):
+        # a line with more letters than any repeated one has need not be normalised
+        if len(line) > longest and len(coded := line.encode("utf-8", "replace")) - len(coded.translate(None, _LETTERS)) > longest:
+            out.append(line)
+        elif (remembered(line) or keys(line)) not in known:
+            out.append(line)
+    return out
 
 
 def without_repeated_lines(articles: DataFrame, repeated: DataFrame) -> DataFrame:
