@@ -62,11 +62,11 @@ def token_classes(text: Column) -> Column:
     return F.transform(tokens_of(text), class_of)
 
 
-def _trigrams(tokens: Column, texts: DataFrame) -> DataFrame:
-    """(a, b, c): each trigram of each text."""
+def _trigrams(texts: DataFrame) -> DataFrame:
+    """(wa, wb, wc): each trigram of words of each text."""
     n = F.greatest(F.size("t") - 2, F.lit(0))
     zipped = F.arrays_zip(F.slice("t", 1, n).alias("a"), F.slice("t", 2, n).alias("b"), F.slice("t", 3, n).alias("c"))
-    return texts.select(tokens.alias("t")).select(F.explode(zipped).alias("g")).select("g.a", "g.b", "g.c")
+    return texts.select(tokens_of(F.col("text")).alias("t")).select(F.explode(zipped).alias("g")).select("g.a", "g.b", "g.c").toDF(*_WORDS)
 
 
 _WORDS = ("wa", "wb", "wc")
@@ -79,12 +79,16 @@ def _counted(own: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     Only if more are asked for than are broadcast, the trigrams of words are all counted in a pass of their own.
     """
     count = F.count(F.lit(1)).alias("n")
+    each = _trigrams(own)
+    classes = [class_of(F.col(w)).alias(c) for w, c in zip(_WORDS, "abc", strict=True)]
     if asked.count() > BROADCAST_ROWS:
-        words = _trigrams(tokens_of(F.col("text")), own).toDF(*_WORDS).groupBy(*_WORDS).agg(count)
-        return _trigrams(token_classes(F.col("text")), own).groupBy("a", "b", "c").agg(count), words.join(asked, list(_WORDS)).select("id", "n")
-    both = F.transform(tokens_of(F.col("text")), lambda token: F.struct(class_of(token).alias("k"), token.alias("w")))
-    each = _trigrams(both, own).select("a.k", "b.k", "c.k", "a.w", "b.w", "c.w").toDF("a", "b", "c", *_WORDS)
-    found = materialise(each.join(F.broadcast(asked), list(_WORDS), "left").groupBy("a", "b", "c", "id").agg(count), "all-trigrams")
+        return each.select(*classes).groupBy("a", "b", "c").agg(count), each.groupBy(*_WORDS).agg(count).join(asked, list(_WORDS)).select("id", "n")
+    # found by a number, and then compared; of two trigrams with one number the second is judged by its classes
+    number = F.xxhash64(*_WORDS)
+    known = asked.select(number.alias("h"), *[F.col(w).alias(f"known_{w}") for w in _WORDS], "id").dropDuplicates(["h"])
+    same = (F.col("wa") == F.col("known_wa")) & (F.col("wb") == F.col("known_wb")) & (F.col("wc") == F.col("known_wc"))
+    marked = each.withColumn("h", number).join(F.broadcast(known), "h", "left").select(*classes, F.when(same, F.col("id")).alias("id"))
+    found = materialise(marked.groupBy("a", "b", "c", "id").agg(count), "all-trigrams")
     return found.groupBy("a", "b", "c").agg(F.sum("n").alias("n")), found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
 
 
