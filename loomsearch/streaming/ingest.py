@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import records_of
 from ..operators.postings import build_postings, indexed_text
+from ..operators.sizes import bounded_broadcast
 
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -36,7 +37,9 @@ def _once(spark: SparkSession, batch: DataFrame, out: str, number: int) -> DataF
     fresh = batch.where("url is not null").groupBy("url").agg(F.min_by(row, "doc_id").alias("row")).select("row.*")
     if number > 0:
         known = spark.read.option("basePath", f"{out}/records").schema("url string, batch long").parquet(f"{out}/records").where(F.col("batch") < number)
-        fresh = fresh.join(known.select("url"), "url", "left_anti")
+        # of the known urls only those of the batch leave the scan; the set itself is never shuffled
+        met = known.select("url").join(bounded_broadcast(fresh.select("url")), "url", "left_semi")
+        fresh = fresh.join(met, "url", "left_anti")
     return fresh
 
 
