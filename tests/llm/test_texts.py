@@ -51,6 +51,19 @@ def test_copies_of_a_cut_text_do_not_vouch_for_each_other(spark):
     assert {i for i, f in flags.items() if f} == set(range(1000, 1150)) and len(flags) == 450
 
 
+def test_half_words_that_many_texts_end_in(spark):
+    # at a large scale the same half word ends many texts, and stands nowhere else
+    rng = random.Random(3)
+    report = lambda i, k: " ".join(f"They said that the {rng.choice(['hospital', 'river', 'Station'])} would open after {i * 97 + j} days." for j in range(k))
+    rows = [(i, report(i, 50)) for i in range(600)]
+    for n, end in enumerate(["hosp", "riv", "Stat", "hospital", "river", "Station"]):
+        rows += [(1000 + 100 * n + i, report(1000 + 100 * n + i, 5) + f" They said that the {end}") for i in range(40 if n < 3 else 6)]
+    rows += [(2000 + i, report(2000 + i, 5) + "\nPhotograph: Ann Dor/Vin Rail") for i in range(60)]
+    rows += [(3000 + i, report(3000 + i, 5) + " More than 1,") for i in range(40)]
+    flags = {r.doc_id: r.cut for r in cut.cut_texts(materialise(spark.createDataFrame(rows, "doc_id long, text string"), "t")).collect()}
+    assert {i for i, f in flags.items() if f} == {i for i, _ in rows if 1000 <= i < 2000 or i >= 3000}
+
+
 def test_cut_report(spark):
     flags = spark.createDataFrame([(1, True), (2, False), (3, False)], "doc_id long, cut boolean")
     articles = spark.createDataFrame([(1, "a", True), (2, "a", True), (3, None, True), (4, "a", True)], "doc_id long, source string, cut boolean")
