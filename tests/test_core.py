@@ -477,3 +477,46 @@ def test_registered_queries_have_statements():
     from loomsearch import registry
 
     assert registry.oracle_sql().keys() <= registry.queries().keys() and len(registry.oracle_sql()) > 80
+
+
+def test_word_vectors_dont_pass_the_driver(spark):
+    # 20,000 words of 200 numbers are 16 MB: nothing of that size is collected
+    words = [f"{'bank river market'.split()[i % 3]} word{i}" for i in range(20_000)]
+    docs = spark.createDataFrame([(" ".join(words[i : i + 50]),) for i in range(0, len(words), 50)], "text string").repartition(4)
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "4m")
+    try:
+        model = expansion.train(docs)
+        query, added = expansion.expanded(model, "bank nowhere")
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+    assert model.getVectors().count() == 20_003
+    assert query.split()[:2] == ["bank", added[0]] and len(added) <= 3 and "nowhere" in query
+
+
+def test_word_vectors_in_parts(spark, monkeypatch):
+    rng = random.Random(4)
+    topics = [[f"{t}{i}" for i in range(12)] for t in ("sea", "tax")]
+    texts = [" ".join(rng.choices(topics[n % 2], k=40)) for n in range(600)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, "unique", None, "", "the of"]], "text string")
+    for words, vocabulary, partitions in ((4_000_000, 100_000, 1), (9_000, 100_000, 2), (4_000_000, 20, 3)):
+        monkeypatch.setattr(expansion, "PART_WORDS", words)
+        monkeypatch.setattr(expansion, "PART_VOCABULARY", vocabulary)
+        model = expansion.train(docs, size=16, window=5, partitions=partitions, iterations=5)
+        assert sorted(r.word for r in model.getVectors().collect()) == sorted([*topics[0], *topics[1], "unique"])
+        near = model.synonyms(["sea3", "tax5", "nowhere"], 5)
+        assert near.keys() == {"sea3", "tax5"} and all(len(x) == 5 and w not in x and {y[:3] for y in x} == {w[:3]} for w, x in near.items()), near
+    assert "unique" not in {r.word for r in expansion.train(docs, size=8, min_count=2).getVectors().collect()}
+    assert [r.words for r in expansion._frequent(spark.createDataFrame([(["b", "a", "c", "b"],), (["c"],)], "words array<string>"), 2).orderBy(F.size("words")).collect()] == [["c"], ["b", "c", "b"]]
+
+
+def test_nearest_words_are_those_by_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(f"w{i:03}", [rng.gauss(0, 1) for _ in range(6)]) for i in range(300)]
+    rows += [(f"v{i}", rows[7][1]) for i in range(3)]
+    model = expansion.WordVectors(spark.createDataFrame(rows, "word string, vector array<float>").repartition(5))
+    vectors = {w: [x / sum(y * y for y in v) ** 0.5 for x in v] for w, v in rows}
+    for n in (1, 4, 500):
+        want = sorted((w for w in vectors if w != "w007"), key=lambda w: (-round(sum(a * b for a, b in zip(vectors[w], vectors["w007"], strict=True)), 5), w))[:n]
+        got = model.synonyms(["w007"], n)["w007"]
+        assert got[: min(n, 4)] == want[: min(n, 4)] and set(got) == set(want)
